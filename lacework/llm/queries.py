@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacework.llm import bpe, exactdup, quality, secrets, tokenfile
+from lacework.llm import bpe, exactdup, neardup, quality, secrets, tokenfile
 from lacework.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_dup_components(table(spark, sf_dir, "documents"), words=2)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_output(table(spark, sf_dir, "documents"), byte_bpe())
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op8_near_dedup": op8_near_dedup,
     "op10_token_files": op10_token_files,
 }
 
