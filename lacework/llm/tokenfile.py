@@ -22,10 +22,10 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,8 +116,11 @@ class Segment:
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each chunk that a worker has not met lately: chunks start at a
-    blank before a visible character, where byte-level pre-tokens always break, so unknown ones are encoded together."""
+    """The tokenizers library, asked once for each piece that a worker has not met lately. Texts fall into chunks at
+    blanks before a visible character, and a chunk into its leading letters and the rest; byte-level pre-tokens
+    always break there, so pieces are encoded apart, many unknown ones together. Ids are kept as bytes, to be joined."""
+
+    LETTERS = regex.compile(r"\p{L}+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -125,37 +128,65 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, tuple[int, ...]] = {}
         vocab = self.tokenizer.get_vocab()
         self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
         self.sizes[list(vocab.values())] = list(map(len, vocab))  # byte-level: a character stands for a byte
+        self.rests: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _library(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes the chunks " " + word together and keeps their ids."""
+    def _learn(self, words: list[str]) -> None:
+        """Encodes " " + word for all of them together; no word starts with white space."""
         for k in range(0, len(words), 4000):
             part = [" " + w for w in words[k : k + 4000]]
             ids = self._library("".join(part))
-            ends = np.cumsum(self.sizes[ids])
-            cut = np.searchsorted(ends, np.cumsum([len(x.encode()) for x in part]), "left") + 1
-            at = 0
+            cut = 4 * (np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(x.encode()) for x in part]), "left") + 1)
+            data, at = ids.tobytes(), 0
             for word, to in zip(words[k : k + 4000], cut.tolist(), strict=True):
-                self.known[word] = tuple(ids[at:to])
+                self.young[word] = data[at:to]
                 at = to
 
+    def _rest(self, text: str) -> bytes:
+        ids = self.rests.get(text)
+        if ids is None:
+            ids = self._library(text).tobytes()
+            if len(text) <= LONGEST_KEPT:
+                if len(self.rests) > KEPT_CHUNKS // 10:
+                    self.rests.clear()
+                self.rests[text] = ids
+        return ids
+
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         pieces = [split_chunks(x) for x in texts]
-        if len(self.known) > KEPT_CHUNKS:
-            self.known.clear()
-        unknown = {w for head, *rest in pieces for w in rest if w not in self.known}
-        self.learn([w for w in unknown if len(w) <= LONGEST_KEPT])
-        out = []
-        for head, *rest in pieces:
-            known = self.known
-            parts = (known[w] if w in known else self._library(" " + w) for w in rest)
-            out.append(np.fromiter(chain(self._library(head), chain.from_iterable(parts)), np.uint32))
+        words = set().union(*(x[1:] for x in pieces))
+        if len(self.young) + len(words) > KEPT_CHUNKS:  # words not met since the last time are forgotten
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        unknown = []
+        for w in words:
+            if w not in young:
+                ids = old.get(w)
+                if ids is None:
+                    unknown.append(w)
+                else:
+                    young[w] = ids
+        letters, split = self.LETTERS, {}
+        for w in unknown:
+            m = letters.match(w)
+            split[w] = (m[0], w[m.end() :]) if m and "<|" not in w else (w, "")
+        heads = {h for h, _ in split.values() if h not in young}
+        self._learn([h for h in heads if h not in old])
+        for h in heads:
+            if h in old:
+                young[h] = old[h]
+        young.update({w: young[h] + self._rest(r) for w, (h, r) in split.items() if r})
+        out = [np.frombuffer(self._library(head).tobytes() + b"".join(map(young.__getitem__, rest)), "<u4") for head, *rest in pieces]
+        for w in unknown:
+            if len(w) > LONGEST_KEPT:
+                young.pop(w, None)
         return out
 
 
