@@ -86,8 +86,8 @@ class PrefixBpe:
         self.suffixes.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
         self.single = {self.bytes_of[k]: k for k in vocab.values() if self.halves[k] is None}
-        self.first: dict[str, tuple[int, ...]] = {}
-        self.inner: dict[str, tuple[int, ...]] = {}
+        self.first: dict[str, bytes] = {}
+        self.inner: dict[str, bytes] = {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the encoding of bytes(left) + bytes(right) is [left, right]."""
@@ -136,25 +136,19 @@ class PrefixBpe:
         ids.reverse()
         return ids
 
-    def encode_chunk(self, chunk: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(self.encode_pretoken(x.encode()) for x in self.pretoken.findall(chunk)))
+    def encode_chunk(self, chunk: str) -> bytes:
+        return np.fromiter(chain.from_iterable(self.encode_pretoken(x.encode()) for x in self.pretoken.findall(chunk)), "<i4").tobytes()
 
-    def _plain(self, text: str) -> Iterator[tuple[int, ...]]:
+    def _plain(self, text: str) -> Iterator[bytes]:
         head, *rest = split_chunks(text)
         first, inner = self.first, self.inner
         if head:
-            ids = first.get(head)
-            if ids is None:
-                ids = self._keep(first, head, self.encode_chunk(head))
-            yield ids
+            yield first.get(head) or self._keep(first, head, self.encode_chunk(head))
         for word in rest:
-            ids = inner.get(word)
-            if ids is None:
-                ids = self._keep(inner, word, self.encode_chunk(" " + word))
-            yield ids
+            yield inner.get(word) or self._keep(inner, word, self.encode_chunk(" " + word))
 
     @staticmethod
-    def _keep(cache: dict, chunk: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+    def _keep(cache: dict, chunk: str, ids: bytes) -> bytes:
         if len(chunk) <= LONGEST_KEPT:
             if len(cache) >= KEPT_CHUNKS:
                 cache.clear()
@@ -163,10 +157,10 @@ class PrefixBpe:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of the whole text; strings of added tokens become their ids."""
+        parts = [text]
         if self.added_split is not None and self.added_split.search(text):
-            parts = [(self.added[x],) if x in self.added else x for x in self.added_split.split(text) if x]
-            return np.fromiter(chain.from_iterable(x if isinstance(x, tuple) else chain.from_iterable(self._plain(x)) for x in parts), np.int32)
-        return np.fromiter(chain.from_iterable(self._plain(text)), np.int32)
+            parts = [x for x in self.added_split.split(text) if x]
+        return np.frombuffer(b"".join(chain.from_iterable([np.int32(self.added[x]).tobytes()] if x in self.added else self._plain(x) for x in parts)), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids; added tokens give their own strings, bytes that are not UTF-8 U+FFFD."""
