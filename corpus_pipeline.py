@@ -1,15 +1,58 @@
-"""From raw documents to training tokens, stage by stage."""
+"""From raw documents to training tokens, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept:
+
+1. quality: importance resampling against the labelled good documents; those it rejects go.
+2. exact: of equal texts the smallest doc_id stays.
+3. near: of each component of near-duplicates (five-word shingles, similarity 0.8) one document stays.
+4. mix: documents are chosen by target weights of languages and sources, each at most once.
+5. encode: token ids of every text, decoded again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lacework.llm import bpe, classifier, exactdup, mixing, neardup
+from lacework.llm.common import materialize, table
+from lacework.llm.queries import byte_bpe
+
+#: Nine tenths of the tokens that are left, languages by weight, sources alike, no document twice.
+MIXTURE = mixing.Mixture(weights={("en",): 5.0, ("de",): 2.0, ("fr",): 2.0, ("es",): 1.0}, budget_share=0.9, max_epochs=1)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return classifier.select_rows(docs, table(spark, sf_dir, "labels"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exactdup.exact_dedup(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.near_dedup(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs, MIXTURE).drop("mx_epochs")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = bpe.encode_decode(docs, byte_bpe())
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mix), ("encode", encode)]
 
-STAGES = []
+#: The classifier, the sketches and the tokenizer have no SQL; run() is tested against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"pipeline-{name}")
     return docs

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -41,7 +42,7 @@ class Settings:
     buckets: int = 1 << 14
     prior: float = 4000.0
     max_labels: int = 20_000
-    reject_cost: float = 20.0
+    reject_cost: float = 100.0
     seed: int = 17
 
 
@@ -186,12 +187,31 @@ def resample(df: DataFrame, labels: DataFrame, settings: Settings = Settings(),
     weight 0. Rows with one id share their noise, so repeated rows are kept or dropped together, and ties at the last
     key are all kept. Null ids share one noise. An empty table gives no rows. Other columns are not looked at.
     """
+    keyed, _, least = _decide(df, labels, settings, k, id_col, text_col)
+    return keyed.select(F.col("q_id").alias(id_col), "log_weight", "key", (F.col("key") >= least).alias("kept"))
+
+
+def select_rows(df: DataFrame, labels: DataFrame, settings: Settings = Settings(), k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
+    """The rows of df, all columns, that resample() keeps. Weights are computed once more where the rows are read, so
+    that no text is shuffled."""
+    _, ratios, least = _decide(df, labels, settings, k, id_col, text_col)
+
+    @F.pandas_udf("double")
+    def weight(texts: pd.Series) -> pd.Series:
+        return pd.Series([float(ratios[ngram_buckets(t, len(ratios))].sum()) for t in texts], dtype="float64")
+
+    rows = df.withColumn("q_id", F.col(id_col).cast("long"))
+    return rows.where(weight(F.col(text_col).cast("string")) + gumbel("q_id", settings.seed) >= least).select(*df.columns)
+
+
+def _decide(df: DataFrame, labels: DataFrame, settings: Settings, k: int | None, id_col: str, text_col: str) -> tuple[DataFrame, np.ndarray, float]:
+    """The keys of all rows, the log ratios, and the least key that is kept."""
     sample = materialize(labelled(labels, settings.max_labels, settings.seed), "labelled")
-    scored = materialize(log_weights(df, log_ratios(df, sample, settings, id_col, text_col), id_col, text_col), "log-weights")
+    ratios = log_ratios(df, sample, settings, id_col, text_col)
+    scored = materialize(log_weights(df, ratios, id_col, text_col), "log-weights")
     keyed = scored.withColumn("key", F.col("log_weight") + gumbel("q_id", settings.seed))
     if k is None:
         known = scored.join(F.broadcast(sample), F.col("q_id") == F.col("l_id")).select("good", "log_weight").collect()
         cut = cut_from_labels([w for g, w in known if g], [w for g, w in known if not g], settings.reject_cost)
         k = scored.where(F.col("log_weight") >= cut).count()
-    least = kth_largest(keyed, "key", k) if not scored.isEmpty() else math.inf
-    return keyed.select(F.col("q_id").alias(id_col), "log_weight", "key", (F.col("key") >= least).alias("kept"))
+    return keyed, ratios, kth_largest(keyed, "key", k) if not scored.isEmpty() else math.inf

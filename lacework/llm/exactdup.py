@@ -203,8 +203,12 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_digest, table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """The rows of df, all columns, whose text stays (see exact_groups). Rows that have a null id stay."""
+    """The rows of df, all columns, whose text stays: those that exact_groups marks as kept."""
     groups = materialize(content_groups(df, id_col, text_col, digest, table_bytes), "exact-groups")
-    kept = groups.select(F.col("xd_least").alias("xd_keep")).where("xd_keep is not null")
-    nulls = df.where(F.col(id_col).isNull())
-    return df.join(kept, F.col(id_col) == F.col("xd_keep"), "left_semi").unionByName(nulls)
+    rows = df.withColumn("xd_text", normalised(text_col)).withColumn("xd_key", digest(F.col("xd_text")))
+    stays = (F.col("xd_key") == F.col("xd_digest")) & F.col(id_col).cast("long").eqNullSafe(F.col("xd_least"))
+    if groups.where("xd_content is not null").isEmpty():
+        rows = rows.drop("xd_text")
+    else:
+        stays &= F.col("xd_content").isNull() | (F.col("xd_content") == F.col("xd_text"))
+    return rows.join(groups, stays, "left_semi").select(*df.columns)

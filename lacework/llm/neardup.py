@@ -190,6 +190,13 @@ def near_dup_components(df: DataFrame, words: int = 5, percent: int = 80, id_col
     return found.select(F.col("nd_id").alias(id_col), F.col("nd_n").alias("n_shingles"), component.alias("component_id"), F.col("nd_id").eqNullSafe(component).alias("kept"))
 
 
+def near_dedup(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns, of one document of each component (see near_dup_components)."""
+    found = near_dup_components(df, words, percent, id_col, text_col)
+    kept = found.where("kept").select(F.col(id_col).alias("nd_keep")).distinct()
+    return df.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("nd_keep")), "left_semi").select(*df.columns)
+
+
 def _links(df: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: str, text_col: str, block_elements: int) -> DataFrame:
     """The verified links (a, b) of nodes."""
     placed = nodes.select("node", F.explode("buckets").alias("bucket"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacework.llm import bpe, exactdup, neardup, quality, secrets, suffixdup, tokenfile
+from lacework.llm import bpe, classifier, exactdup, licenses, mixing, neardup, quality, secrets, suffixdup, tokenfile
 from lacework.llm.common import table
 
 
@@ -27,6 +27,20 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+#: Half of all tokens, languages by weight, sources alike.
+MIXTURE = mixing.Mixture(weights={("en",): 5.0, ("de",): 2.0, ("fr",): 2.0, ("es",): 1.0}, budget_share=0.5, max_epochs=4)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(table(spark, sf_dir, "documents"), MIXTURE)
+    return rows.select("doc_id", "lang", "source", F.col("mx_epochs").alias("epochs"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "license", F.round("coverage", 4).alias("coverage"), F.col("start").alias("start_at"), F.col("end").alias("end_at"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.find_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -47,17 +61,25 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_dup_components(table(spark, sf_dir, "documents"), words=2)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = classifier.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", F.round("log_weight", 6).alias("log_weight"), F.round("key", 6).alias("key"), "kept")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_output(table(spark, sf_dir, "documents"), byte_bpe())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_mixing": op2_mixing,
+    "op3_licenses": op3_licenses,
     "op4_secrets": op4_secrets,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_near_dedup": op8_near_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_token_files": op10_token_files,
 }
 
