@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from lacework.llm.common import SPACE, materialize, text_or_empty
 
 #: Bytes of contents that a table holds before its bucket is split.
-TABLE_BYTES = 96 << 20
+TABLE_BYTES = 48 << 20
 #: Spill files of one split.
 FANOUT = 16
 #: Bytes of an output batch.
