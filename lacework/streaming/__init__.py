@@ -1,0 +1 @@
+"""The reference workloads have no streams; nothing is streamed here."""
