@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lacework.llm.common import materialize
+from lacework.llm.common import materialize, packed
 from lacework.llm.neardup import mix
 
 _U = np.uint64
@@ -200,8 +200,8 @@ def select_rows(df: DataFrame, labels: DataFrame, settings: Settings = Settings(
     def weight(texts: pd.Series) -> pd.Series:
         return pd.Series([float(ratios[ngram_buckets(t, len(ratios))].sum()) for t in texts], dtype="float64")
 
-    rows = df.withColumn("q_id", F.col(id_col).cast("long"))
-    return rows.where(weight(F.col(text_col).cast("string")) + gumbel("q_id", settings.seed) >= least).select(*df.columns)
+    rows = packed(df, F.col(id_col).cast("long").alias("q_id"), F.col(text_col).cast("string").alias("q_text"))
+    return rows.where(weight("q_text") + gumbel("q_id", settings.seed) >= least).select("row.*")
 
 
 def _decide(df: DataFrame, labels: DataFrame, settings: Settings, k: int | None, id_col: str, text_col: str) -> tuple[DataFrame, np.ndarray, float]:

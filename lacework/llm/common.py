@@ -56,5 +56,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def packed(df: DataFrame, *more) -> DataFrame:
+    """(row, *more): the columns of df as one struct, so that no name of theirs can clash with those used beside it."""
+    return df.select(F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("row"), *more)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_or_empty(text_col: str = "text"):
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))

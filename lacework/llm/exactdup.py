@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lacework.llm.common import SPACE, materialize, text_or_empty
+from lacework.llm.common import SPACE, materialize, packed, text_or_empty
 
 #: Bytes of contents that a table holds before its bucket is split.
 TABLE_BYTES = 48 << 20
@@ -205,10 +205,10 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_digest, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """The rows of df, all columns, whose text stays: those that exact_groups marks as kept."""
     groups = materialize(content_groups(df, id_col, text_col, digest, table_bytes), "exact-groups")
-    rows = df.withColumn("xd_text", normalised(text_col)).withColumn("xd_key", digest(F.col("xd_text")))
-    stays = (F.col("xd_key") == F.col("xd_digest")) & F.col(id_col).cast("long").eqNullSafe(F.col("xd_least"))
+    rows = packed(df, F.col(id_col).cast("long").alias("xd_id"), normalised(text_col).alias("xd_text")).withColumn("xd_key", digest(F.col("xd_text")))
+    stays = (F.col("xd_key") == F.col("xd_digest")) & F.col("xd_id").eqNullSafe(F.col("xd_least"))
     if groups.where("xd_content is not null").isEmpty():
         rows = rows.drop("xd_text")
     else:
         stays &= F.col("xd_content").isNull() | (F.col("xd_content") == F.col("xd_text"))
-    return rows.join(groups, stays, "left_semi").select(*df.columns)
+    return rows.join(groups, stays, "left_semi").select("row.*")

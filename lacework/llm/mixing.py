@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacework.llm.common import SPACE, materialize, text_or_empty
+from lacework.llm.common import SPACE, materialize, packed, text_or_empty
 
 #: Hash ranges of a leaf; the order key has 60 bits.
 RANGES = 4096
@@ -83,12 +83,13 @@ def mix(df: DataFrame, mixture: Mixture = Mixture(), levels: tuple[str | Column,
 
     A null level is a value of its own (""). A null text counts as empty: no tokens, so it is in every whole epoch, and
     in the last one if its place comes before the budget is met. Rows that repeat an id share their place in the order;
-    among them those with fewer tokens come first. An empty table gives no rows. Columns of df keep their names; names
-    that start with mx_ are used here.
+    among them those with fewer tokens come first. An empty table gives no rows. Columns of df may have any names but
+    mx_epochs.
     """
     path = [f"mx_l{k}" for k in range(len(levels))]
-    placed = df.withColumns({p: F.coalesce((F.col(x) if isinstance(x, str) else x).cast("string"), F.lit("")) for p, x in zip(path, levels, strict=True)})
-    counts = materialize(placed.select(F.col(id_col).alias("mx_id"), *path, token_count(text_col).alias("mx_tokens")), "token-counts")
+    named = [F.coalesce((F.col(x) if isinstance(x, str) else x).cast("string"), F.lit("")).alias(p) for p, x in zip(path, levels, strict=True)]
+    placed = packed(df, F.col(id_col).alias("mx_id"), F.col(text_col).alias("mx_text"), *named)
+    counts = materialize(placed.select("mx_id", *path, token_count("mx_text").alias("mx_tokens")), "token-counts")
     leaves = counts.groupBy(*path).agg(F.sum("mx_tokens").alias("tokens"))
     leaves = materialize(leaves, "leaves")
     budget = mixture.budget_tokens if mixture.budget_tokens is not None else (leaves.agg(F.sum("tokens")).first()[0] or 0) * mixture.budget_share
@@ -104,10 +105,10 @@ def mix(df: DataFrame, mixture: Mixture = Mixture(), levels: tuple[str | Column,
     cut = sums.withColumn("mx_base", base).where(F.col("mx_base") < F.col("mx_rest")).groupBy(*path).agg(F.max(F.struct("mx_range", "mx_base")).alias("c"))
     plan = materialize(plan.join(cut, path, "left").select(*path, "mx_full", "mx_rest", F.coalesce("c.mx_range", F.lit(-1)).alias("mx_cut"), F.col("c.mx_base").alias("mx_base")), "leaf-cuts")
 
-    rows = placed.join(plan, path).withColumn("mx_key", order_key(mixture.seed, F.col("mx_full"), id_col))
+    rows = placed.join(plan, path).withColumn("mx_key", order_key(mixture.seed, F.col("mx_full"), "mx_id"))
     rows = rows.withColumn("mx_range", F.shiftright(F.col("mx_key"), _ORDER_BITS - RANGES.bit_length() + 1))
     clear = rows.where("mx_range <> mx_cut").withColumn("mx_epochs", F.col("mx_full") + (F.col("mx_range") < F.col("mx_cut")).cast("long"))
     inside = Window.partitionBy(*path).orderBy("mx_key", "mx_tokens").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("mx_base") + F.coalesce(F.sum("mx_tokens").over(inside), F.lit(0))
-    met = rows.where("mx_range = mx_cut").withColumn("mx_tokens", token_count(text_col)).withColumn("mx_epochs", F.col("mx_full") + (start < F.col("mx_rest")).cast("long"))
-    return clear.select(*df.columns, "mx_epochs").unionByName(met.select(*df.columns, "mx_epochs")).where("mx_epochs > 0")
+    met = rows.where("mx_range = mx_cut").withColumn("mx_tokens", token_count("mx_text")).withColumn("mx_epochs", F.col("mx_full") + (start < F.col("mx_rest")).cast("long"))
+    return clear.select("row.*", "mx_epochs").union(met.select("row.*", "mx_epochs")).where("mx_epochs > 0")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lacework.llm.common import materialize
+from lacework.llm.common import materialize, packed
 from lacework.llm.graph import components
 
 BANDS, BAND_BINS = 44, 5
@@ -194,7 +194,8 @@ def near_dedup(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
     """The rows of df, all columns, of one document of each component (see near_dup_components)."""
     found = near_dup_components(df, words, percent, id_col, text_col)
     kept = found.where("kept").select(F.col(id_col).alias("nd_keep")).distinct()
-    return df.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("nd_keep")), "left_semi").select(*df.columns)
+    rows = packed(df, F.col(id_col).cast("long").alias("nd_id"))
+    return rows.join(kept, F.col("nd_id").eqNullSafe(F.col("nd_keep")), "left_semi").select("row.*")
 
 
 def _links(df: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: str, text_col: str, block_elements: int) -> DataFrame:
