@@ -85,9 +85,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL for what SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    # The same water-filling, level by level; with these weights every language and source has a weight above 0.
+    "op2_mixing": r"""
+        WITH c AS (SELECT doc_id, coalesce(lang, '') AS l, coalesce(source, '') AS s, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents),
+        leaf AS (SELECT l, s, sum(n)::BIGINT AS t FROM c GROUP BY l, s),
+        a0 AS (SELECT l, 4.0::DOUBLE * sum(t)::DOUBLE AS cap, CASE l WHEN 'en' THEN 5.0 WHEN 'de' THEN 2.0 WHEN 'fr' THEN 2.0 ELSE 1.0 END::DOUBLE AS w, (SELECT sum(t) FROM leaf)::DOUBLE * 0.5 AS given FROM leaf GROUP BY l),
+        a1 AS (SELECT *, (given - coalesce(sum(cap) OVER (ORDER BY cap / w, l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, l ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM a0),
+        a2 AS (SELECT l, coalesce(least(cap, w * max(CASE WHEN share * w < cap THEN share END) OVER ()), cap) AS given FROM a1),
+        b0 AS (SELECT l, s, t, 4.0::DOUBLE * t AS cap, given FROM leaf JOIN a2 USING (l)),
+        b1 AS (SELECT *, (given - coalesce(sum(cap) OVER (PARTITION BY l ORDER BY cap, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / count(*) OVER (PARTITION BY l ORDER BY cap, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM b0),
+        b2 AS (SELECT l, s, t, coalesce(least(cap, max(CASE WHEN share < cap THEN share END) OVER (PARTITION BY l)), cap) AS b FROM b1),
+        plan AS (SELECT l, s, f, round(b - f * t, 6) AS rest FROM (SELECT *, CASE WHEN t > 0 THEN least(floor(b / t), 4) ELSE 0 END::BIGINT AS f FROM b2)),
+        o AS (SELECT c.*, f, rest, coalesce(sum(n) OVER (PARTITION BY l, s ORDER BY ('0x' || substr(md5('11|' || f::VARCHAR || '|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c JOIN plan USING (l, s))
+        SELECT o.doc_id, lang, source, f + (before < rest)::BIGINT AS epochs FROM o JOIN documents d ON d.doc_id IS NOT DISTINCT FROM o.doc_id WHERE f + (before < rest)::BIGINT > 0
+    """,
     "op5_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)
     """,
+    "op6_quality_rules": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+        p AS (SELECT doc_id, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM t),
+        q AS (SELECT doc_id, i, a, lead(a) OVER w AS b, lead(a, 2) OVER w AS c FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS k FROM q WHERE c IS NOT NULL),
+        rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM r WHERE k > 1) GROUP BY doc_id),
+        m AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+            length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS n_letters, length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_exclaim FROM t LEFT JOIN rep USING (doc_id)),
+        f AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (5 * n_symbols > n_words)::BIGINT + 8 * (2 * n_upper > n_letters AND n_letters > 0)::BIGINT + 16 * (3 * n_dup_lines > n_lines AND n_dup_lines >= 3)::BIGINT
+            + 32 * (word_chars < 2 * n_words OR word_chars > 25 * n_words)::BIGINT + 64 * (2 * n_letters < word_chars)::BIGINT + 128 * (3 * n_exclaim > n_words)::BIGINT AS failed_bits FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM f
+    """,
+    # All pairs that share a shingle, so only for small tables.
+    "op8_near_dedup": r"""
+        WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        p AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM t),
+        q AS (SELECT doc_id, n, a, lead(a) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM p),
+        sh AS (SELECT DISTINCT doc_id, a, coalesce(b, '') AS b FROM q WHERE b IS NOT NULL OR n = 1),
+        z AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        common AS (SELECT x.doc_id AS d, y.doc_id AS e, count(*) AS k FROM sh x JOIN sh y ON x.a = y.a AND x.b = y.b AND x.doc_id < y.doc_id GROUP BY 1, 2),
+        near AS (SELECT d, e FROM common JOIN z x ON x.doc_id = d JOIN z y ON y.doc_id = e WHERE 100 * k >= 80 * (x.n + y.n - k)),
+        links AS (SELECT d, e FROM near UNION ALL SELECT e, d FROM near),
+        reach AS (SELECT doc_id AS d, doc_id AS e FROM t UNION SELECT r.d, l.e FROM reach r JOIN links l ON l.d = r.e)
+        SELECT t.doc_id, coalesce(any_value(z.n), 0) AS n_shingles, min(e) AS component_id, t.doc_id = min(e) AS kept FROM t JOIN reach r ON r.d = t.doc_id LEFT JOIN z ON z.doc_id = t.doc_id GROUP BY t.doc_id
+    """,
 }
