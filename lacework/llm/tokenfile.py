@@ -37,7 +37,7 @@ MAGIC = b"LWDAC01\n"
 HEAD = struct.Struct("<8sIIIIQ")
 #: Ids of a segment, about; a document is never cut.
 SEGMENT_IDS = 2 << 20
-KEPT_CHUNKS = 500_000
+KEPT_CHUNKS = 700_000
 
 
 def _filled(data: bytes) -> bytes:
@@ -131,62 +131,88 @@ class LibraryEncoder:
         vocab = self.tokenizer.get_vocab()
         self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
         self.sizes[list(vocab.values())] = list(map(len, vocab))  # byte-level: a character stands for a byte
-        self.rests: dict[str, bytes] = {}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.newline = self._library("\n").tobytes()
+        self.heads: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.met_once: dict[str, bytes] = {}
+        self.met_again: dict[str, bytes] = {}
 
     def _library(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Encodes " " + word for all of them together; no word starts with white space."""
+        out: dict[str, bytes] = {}
         for k in range(0, len(words), 4000):
             part = [" " + w for w in words[k : k + 4000]]
             ids = self._library("".join(part))
             cut = 4 * (np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(x.encode()) for x in part]), "left") + 1)
             data, at = ids.tobytes(), 0
             for word, to in zip(words[k : k + 4000], cut.tolist(), strict=True):
-                self.young[word] = data[at:to]
+                out[word] = data[at:to]
+                at = to
+        return out
+
+    def _learn_heads(self, heads: set[str]) -> None:
+        """Encodes words that no blank stands before, for all of them together: each stands behind a newline, which is a
+        pre-token of its own before a visible character."""
+        new = [h for h in heads if h not in self.heads]
+        if len(self.heads) + len(new) > KEPT_CHUNKS // 4:
+            self.heads.clear()
+            new = list(heads)
+        for k in range(0, len(new), 4000):
+            part = ["\n" + h for h in new[k : k + 4000]]
+            ids = self._library("".join(part))
+            cut = 4 * (np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(x.encode()) for x in part]), "left") + 1)
+            data, at = ids.tobytes(), 0
+            for head, to in zip(new[k : k + 4000], cut.tolist(), strict=True):
+                self.heads[head] = data[at + 4 : to]
                 at = to
 
-    def _rest(self, text: str) -> bytes:
-        ids = self.rests.get(text)
+    def _tail(self, text: str) -> bytes:
+        """The ids of what follows the leading letters of a chunk: often a mark, a newline and a word."""
+        mark, newline, word = text.partition("\n")
+        if newline and mark and word in self.heads and mark.split() == [mark]:
+            return self._tail(mark) + self.newline + self.heads[word]
+        ids = self.tails.get(text)
         if ids is None:
             ids = self._library(text).tobytes()
             if len(text) <= LONGEST_KEPT:
-                if len(self.rests) > KEPT_CHUNKS // 10:
-                    self.rests.clear()
-                self.rests[text] = ids
+                if len(self.tails) > KEPT_CHUNKS // 10:
+                    self.tails.clear()
+                self.tails[text] = ids
         return ids
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Most words of a language are met once and never again, so only those met in a second
+        batch are kept for long; the others make room for the next batch's."""
         pieces = [split_chunks(x) for x in texts]
-        words = set().union(*(x[1:] for x in pieces))
-        if len(self.young) + len(words) > KEPT_CHUNKS:  # words not met since the last time are forgotten
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        unknown = []
-        for w in words:
-            if w not in young:
-                ids = old.get(w)
-                if ids is None:
-                    unknown.append(w)
-                else:
-                    young[w] = ids
+        known, once = self.met_again, self.met_once
+        if len(known) > KEPT_CHUNKS:
+            known.clear()
+        words = set().union(*(x[1:] for x in pieces)).difference(known)
+        again = words.intersection(once)
+        known.update((w, once.pop(w)) for w in again)
         letters, split = self.LETTERS, {}
-        for w in unknown:
+        for w in words.difference(again):
             m = letters.match(w)
             split[w] = (m[0], w[m.end() :]) if m and "<|" not in w else (w, "")
-        heads = {h for h, _ in split.values() if h not in young}
-        self._learn([h for h in heads if h not in old])
-        for h in heads:
-            if h in old:
-                young[h] = old[h]
-        young.update({w: young[h] + self._rest(r) for w, (h, r) in split.items() if r})
-        out = [np.frombuffer(self._library(head).tobytes() + b"".join(map(young.__getitem__, rest)), "<u4") for head, *rest in pieces]
-        for w in unknown:
-            if len(w) > LONGEST_KEPT:
-                young.pop(w, None)
+        lone = {x[0] for x in pieces}
+        lone.update(r.partition("\n")[2] for _, r in split.values() if "\n" in r)
+        self._learn_heads({x for x in lone if x.split() == [x] and "<|" not in x and len(x) <= LONGEST_KEPT})
+        heads = {h for h, _ in split.values()}.difference(known)
+        met = {h: once[h] for h in heads.intersection(once)}
+        fresh = self._learn([h for h in heads if h not in met])
+        of = lambda h: fresh.get(h) or known.get(h) or met[h]
+        fresh.update([(w, of(h) + self._tail(r)) for w, (h, r) in split.items() if r])
+        known |= fresh
+        first = lambda x: self.heads[x] if x in self.heads else self._library(x).tobytes()
+        out = [np.frombuffer(first(head) + b"".join(map(known.__getitem__, rest)), "<u4") for head, *rest in pieces]
+        for w in fresh:
+            del known[w]
+        if len(once) + len(fresh) > KEPT_CHUNKS // 2:
+            once.clear()
+        once.update(x for x in fresh.items() if len(x[0]) <= LONGEST_KEPT)
         return out
 
 
