@@ -49,19 +49,30 @@ class Settings:
 _RUN = re.compile(r"(.)\1+")
 
 
+class _Classes(dict):
+    """Code point -> the character that stands for its class."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = out = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
+        return out
+
+
+_CLASSES = _Classes()
+
+
 def shape(word: str) -> str:
     """Xx for Word, X for WORD, 9 for digits, other characters once each."""
-    out = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64])
-    return _RUN.sub(r"\1", out)
+    return _RUN.sub(r"\1", word[:64].translate(_CLASSES))
 
 
 class _Shapes(dict):
-    """word -> (hash of its shape, hash of the word)"""
+    """word -> the hash of its shape and the hash of the word, as bytes"""
 
-    def __missing__(self, word: str) -> tuple[int, int]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) > 300_000:
             self.clear()
-        found = xxhash.xxh64_intdigest(shape(word)), xxhash.xxh64_intdigest(word.lower())
+        found = xxhash.xxh64_digest(shape(word)) + xxhash.xxh64_digest(word.lower())
         if len(word) <= 64:
             self[word] = found
         return found
@@ -76,8 +87,8 @@ def ngram_buckets(text: str | None, buckets: int) -> np.ndarray:
     words = (text or "").split()
     if not words:
         return np.empty(0, np.int64)
-    pairs = np.array([_SHAPES[w] for w in words], _U)
-    shapes, own = pairs[:, 0].copy(), pairs[:, 1]
+    pairs = np.frombuffer(b"".join(map(_SHAPES.__getitem__, words)), ">u8").reshape(-1, 2)
+    shapes, own = pairs[:, 0].astype(_U), pairs[:, 1]
     shapes[1:][own[1:] == own[:-1]] = _SAME
     with np.errstate(over="ignore"):
         grams = [mix(shapes)]
