@@ -12,7 +12,7 @@ v2 - v0 - v1 - v3; three-star with its centre in the second place.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,14 +120,37 @@ def star_support(graph: Graph, threshold: int = 1, edges: DataFrame | None = Non
     return domains.join(ends, tuples).groupBy(*tuples).agg(F.least(F.min("d1"), F.min("d")).alias("support")).where(F.col("support") >= threshold)
 
 
-@dataclass(frozen=True)
 class Frequent:
-    vertex: DataFrame
-    edge: DataFrame
-    wedge: DataFrame
-    triangle: DataFrame
-    four_chain: DataFrame
-    three_star: DataFrame
+    """The frequent patterns of each template; a template is planned when it is asked for."""
+
+    def __init__(self, graph: Graph, threshold: int, reference_compat: bool = False):
+        if threshold < 1:
+            raise ValueError(f"the threshold must be at least 1, not {threshold}")
+        self.graph, self.threshold, self.reference_compat = graph, threshold, reference_compat
+
+    @cached_property
+    def vertex(self) -> DataFrame:
+        return vertex_support(self.graph, self.threshold)
+
+    @cached_property
+    def edge(self) -> DataFrame:
+        return self.graph.kept(edge_support(self.graph, self.threshold))
+
+    @cached_property
+    def wedge(self) -> DataFrame:
+        return wedge_support(self.graph, self.threshold, self.edge)
+
+    @cached_property
+    def triangle(self) -> DataFrame:
+        return triangle_support(self.graph, self.threshold)
+
+    @cached_property
+    def four_chain(self) -> DataFrame:
+        return chain_support(self.graph, self.threshold, self.edge, not self.reference_compat)
+
+    @cached_property
+    def three_star(self) -> DataFrame:
+        return star_support(self.graph, self.threshold, self.edge)
 
     def summary(self) -> DataFrame:
         """(template, patterns, total_support)"""
@@ -140,8 +163,4 @@ class Frequent:
 
 def mine_frequent(graph: Graph, threshold: int, reference_compat: bool = False) -> Frequent:
     """All frequent patterns. reference_compat: chains with equal middle labels and different ends are listed twice."""
-    if threshold < 1:
-        raise ValueError(f"the threshold must be at least 1, not {threshold}")
-    edges = graph.kept(edge_support(graph, threshold))
-    wedge, chain, star = wedge_support(graph, threshold, edges), chain_support(graph, threshold, edges, not reference_compat), star_support(graph, threshold, edges)
-    return Frequent(vertex_support(graph, threshold), edges, wedge, triangle_support(graph, threshold), chain, star)
+    return Frequent(graph, threshold, reference_compat)
