@@ -1,8 +1,11 @@
 """License scans by patience alignment.
 
 A template and a text are aligned on the words that both have exactly once: of these anchors the longest increasing
-subsequence stands, and the gaps between them are aligned in the same way; gaps without such words are small and take a
-plain longest common subsequence. Coverage is the share of the template's words that are aligned.
+subsequence stands, and the gaps between them are aligned in the same way; gaps without such words take a plain longest
+common subsequence, whatever their size. Coverage is the share of the template's words that are aligned.
+
+Copies that stand side by side are told apart before they are aligned: the window that first has enough of the template,
+grown over what follows densely, is one copy, and the next copy starts where the next such window does.
 
 A template of n words with at least the share `least` aligned has one of any floor((1 - least) n) + 1 of its words in
 the text. So only places around the rarest of its words are aligned, and texts without any are left at once; both are
@@ -12,6 +15,7 @@ exact.
 from __future__ import annotations
 
 import bisect
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,8 +28,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LEAST = 0.8
-#: Cells of the plain alignment of a gap without anchors.
-GAP_CELLS = 4096
 WORD = re.compile(r"[^\W_]+")
 
 #: Fixed texts: short notices and well-known clauses of public licenses.
@@ -50,20 +52,38 @@ def words_of(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
 
+def _masks(words: list[str]) -> dict[str, int]:
+    """word -> the bits of its places"""
+    out: dict[str, int] = {}
+    for k, w in enumerate(words):
+        out[w] = out.get(w, 0) | 1 << k
+    return out
+
+
+def _step(row: int, mask: int) -> int:
+    """The next row of the bit-parallel longest common subsequence: the zeros among the lowest k bits count what the first
+    k words have in common with the text so far."""
+    hit = row & mask
+    return (row + hit) | (row - hit)
+
+
 def _plain(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """A longest common subsequence, as pairs of places."""
     n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    masks, full = _masks(a[::-1]), (1 << n) - 1
+    # rows[j]: of a and b[j:], both from their ends.
+    rows = [full] * (m + 1)
+    for j in range(m - 1, -1, -1):
+        mask = masks.get(b[j])
+        rows[j] = _step(rows[j + 1], mask) & full if mask else rows[j + 1]
+    best = lambda i, j: (~rows[j] & ((1 << (n - i)) - 1)).bit_count()
     i = j = 0
     out = []
     while i < n and j < m:
         if a[i] == b[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+        elif best(i + 1, j) >= best(i, j + 1):
             i += 1
         else:
             j += 1
@@ -110,8 +130,7 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         shared = [(q, at[b[q]]) for q in range(j, m) if b[q] in once and count[b[q]] == 1]
         chain = [shared[k] for k in increasing([p for _, p in shared])]
         if not chain:
-            if (n - i) * (m - j) <= GAP_CELLS:
-                out += [(i + x, j + y) for x, y in _plain(a[i:n], b[j:m])]
+            out += [(i + x, j + y) for x, y in _plain(a[i:n], b[j:m])]
             continue
         for q, p in chain:
             out.append((p, q))
@@ -134,6 +153,7 @@ class Scanner:
         self.least = least
         self.templates = {name: words_of(text) for name, text in templates.items()}
         self.templates = {name: w for name, w in self.templates.items() if w}
+        self.masks = {name: (_masks(w), _masks(w[::-1])) for name, w in self.templates.items()}
         self.seeds: dict[str, list[tuple[str, int]]] = {}
         for name, words in self.templates.items():
             needed = int((1 - least) * len(words) + 1e-9) + 1
@@ -165,18 +185,63 @@ class Scanner:
         out = []
         for name, found in regions.items():
             template = self.templates[name]
-            taken = -1
+            n, taken = len(template), -1
+            slack = n // 2 + 2
             for a, b in found:
                 at = max(a, taken + 1)
-                while at < b:
-                    pairs = _tight(align(template, words[at:b]), len(template), self.least)
+                while (first := self._window(name, words, at, b)) is not None:
+                    start, end = first
+                    # This copy and the next one may end behind the region; what the next one needs is not for this one.
+                    end = self._grown(name, words, start, end, min(len(words), end + n + slack))
+                    after = self._window(name, words, end, min(len(words), max(b, end) + n + slack))
+                    stop = max(b, end) if after is None else min(max(b, end), after[0])
+                    wide = _tight([(i, at + j) for i, j in align(template, words[at:stop])], n, self.least)
+                    close = _tight([(i, start + j) for i, j in _plain(template, words[start:end])], n, self.least)
+                    pairs = close if len(close) > len(wide) else wide
                     if not pairs:
-                        break
-                    first, last = at + pairs[0][1], at + pairs[-1][1]
-                    out.append(Found(name, len(pairs) / len(template), places[first][0], places[last][1]))
-                    taken, at = last, last + 1
+                        at = start + 1
+                        continue
+                    out.append(Found(name, len(pairs) / n, places[pairs[0][1]][0], places[pairs[-1][1]][1]))
+                    taken, at = pairs[-1][1], pairs[-1][1] + 1
         return sorted(out, key=lambda x: (x.start, x.name))
 
+    def _window(self, name: str, words: list[str], at: int, stop: int) -> tuple[int, int] | None:
+        """Of the windows of words[at:stop] that have enough of a template in order, the first to end, as short as it can be."""
+        n = len(self.templates[name])
+        full, least = (1 << n) - 1, max(1, math.ceil(self.least * n - 1e-9))
+        ahead, back = self.masks[name]
+        row = full
+        for end in range(at, stop):
+            mask = ahead.get(words[end])
+            if mask:
+                row = _step(row, mask) & full
+                if n - row.bit_count() >= least:
+                    break
+        else:
+            return None
+        row = full
+        for start in range(end, at - 1, -1):
+            mask = back.get(words[start])
+            if mask:
+                row = _step(row, mask) & full
+                if n - row.bit_count() >= least:
+                    break
+        return start, end + 1
+
+    def _grown(self, name: str, words: list[str], start: int, end: int, stop: int) -> int:
+        """The end of a window after the words that follow it and are more of the template, at least every other one."""
+        n = len(self.templates[name])
+        row = full = (1 << n) - 1
+        ahead = self.masks[name][0]
+        most, out = None, end
+        for k in range(start, stop):
+            row = _step(row, ahead.get(words[k], 0)) & full
+            if k + 1 >= end:
+                score = 2 * (n - row.bit_count()) - k
+                if most is None or score > most:
+                    most, out = score, k + 1
+        return out
+
 
 def _tight(pairs: list[tuple[int, int]], n: int, least: float) -> list[tuple[int, int]]:
     """The pairs without stray ends, if they still cover enough of the n words: an end that stands off by more than

@@ -123,6 +123,48 @@ def test_alignment_is_a_common_subsequence():
     assert licenses.align(["x", *words[:2], "y", *words[2:]], words) == [(1, 0), (2, 1), (4, 2), (5, 3)]
 
 
+def lcs(a, b):
+    best = [0] * (len(b) + 1)
+    for x in a:
+        old = best[:]
+        for j, y in enumerate(b):
+            best[j + 1] = old[j] + 1 if x == y else max(old[j + 1], best[j])
+    return best[-1]
+
+
+def test_gaps_of_any_size_take_a_longest_common_subsequence():
+    r = random.Random(9)
+    for n, m in ((3, 5), (40, 150), (60, 400)):
+        a, b = ([r.choice("abcdefgh") for _ in range(k)] for k in (n, m))
+        b += a + a  # no word stands once
+        pairs = licenses.align(["<", *a], [">", *b])
+        assert len(pairs) == lcs(a, b) == n and all(["<", *a][i] == [">", *b][j] for i, j in pairs)
+        c = [r.choice("abcdefgh") for _ in range(m)]
+        assert len(licenses._plain(a, c)) == lcs(a, c)
+
+
+@pytest.mark.parametrize("name", licenses.TEMPLATES)
+def test_adjacent_copies(name):
+    words = licenses.words_of(licenses.TEMPLATES[name])
+    n = len(words)
+    changed = lambda *at: ["qq" if k in at else w for k, w in enumerate(words)]
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.LEAST)
+    cases = [[words] * k for k in (1, 2, 3, 12)]
+    cases += [[changed(k), words] for k in range(n)] + [[words, changed(k)] for k in range(n)]
+    cases += [[changed(n - 1)] * 12, [changed(0)] * 12, [changed(n // 2), changed(n - 2), changed(1)]]
+    for copies in cases:
+        for around in (0, 60):
+            before, after = [f"x{k}" for k in range(around)], [f"y{k}" for k in range(around)]
+            found = [x for x in scanner.scan(" ".join([*before, *(w for c in copies for w in c), *after])) if x.name == name]
+            text = [*before, *(w for c in copies for w in c), *after]
+            starts = [sum(len(w) + 1 for w in text[:k]) for k in range(len(text) + 1)]
+            assert len(found) == len(copies), copies
+            for k, (x, c) in enumerate(zip(found, copies, strict=True)):
+                assert x.coverage >= lcs(words, c) / n - 1e-9
+                own = [j for j, w in enumerate(c) if w != "qq"]
+                assert (x.start, x.end) == (starts[around + k * n + own[0]], starts[around + k * n + own[-1] + 1] - 1)
+
+
 def fill(children, budget):
     """Water filling by trying: children name -> (weight, capacity)."""
     out, open_ = {}, dict(children)
