@@ -8,8 +8,9 @@ to the weights.
 
 The n-grams are over word shapes (upper, lower, digits, other characters; a word that repeats the one before it
 has a shape of its own) of one to three words: shapes, unlike words, are shared by languages and topics, so a small
-labelled sample doesn't judge a language by how often it drew it. Counts of the target are drawn towards the raw
-model where they are few.
+labelled sample doesn't judge a language by how often it drew it. A run without white space of more than 64 characters
+counts as several words, one for each 64 characters, so that all of a text without blanks is judged. Counts of the
+target are drawn towards the raw model where they are few.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -46,6 +48,8 @@ class Settings:
     seed: int = 17
 
 
+#: Characters of a piece of a long word.
+PIECE = 64
 _RUN = re.compile(r"(.)\1+")
 
 
@@ -63,18 +67,18 @@ _CLASSES = _Classes()
 
 def shape(word: str) -> str:
     """Xx for Word, X for WORD, 9 for digits, other characters once each."""
-    return _RUN.sub(r"\1", word[:64].translate(_CLASSES))
+    return _RUN.sub(r"\1", word.translate(_CLASSES))
 
 
 class _Shapes(dict):
-    """word -> the hash of its shape and the hash of the word, as bytes"""
+    """word -> the hash of its shape and the hash of the word, as bytes; for a long word those of its pieces, one after another"""
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > 300_000:
             self.clear()
-        found = xxhash.xxh64_digest(shape(word)) + xxhash.xxh64_digest(word.lower())
-        if len(word) <= 64:
-            self[word] = found
+        if len(word) > PIECE:
+            return b"".join(self[word[k : k + PIECE]] for k in range(0, len(word), PIECE))
+        self[word] = found = xxhash.xxh64_digest(shape(word)) + xxhash.xxh64_digest(word.lower())
         return found
 
 
@@ -90,12 +94,16 @@ def ngram_buckets(text: str | None, buckets: int) -> np.ndarray:
     pairs = np.frombuffer(b"".join(map(_SHAPES.__getitem__, words)), ">u8").reshape(-1, 2)
     shapes, own = pairs[:, 0].astype(_U), pairs[:, 1]
     shapes[1:][own[1:] == own[:-1]] = _SAME
+    if len(shapes) > len(words):
+        # All pieces of a long word that repeats the word before it.
+        again = np.array([False] + [a.lower() == b.lower() for a, b in pairwise(words)])
+        shapes[np.repeat(again, [-(-len(w) // PIECE) for w in words])] = _SAME
     with np.errstate(over="ignore"):
         grams = [mix(shapes)]
-        if len(words) > 1:
+        if len(shapes) > 1:
             two = mix(shapes[:-1] * _U(3) + shapes[1:] * _U(0x9E3779B97F4A7C15))
             grams.append(two)
-        if len(words) > 2:
+        if len(shapes) > 2:
             grams.append(mix(two[:-1] * _U(5) + shapes[2:]))
     return (np.concatenate(grams) % _U(buckets)).astype(np.int64)
 

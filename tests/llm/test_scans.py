@@ -249,6 +249,22 @@ def test_classifier(spark, odd, empty):
     assert classifier.resample(empty, labels).count() == 0 == classifier.select_rows(empty, labels).count()
 
 
+def test_classifier_reads_texts_without_blanks_whole(spark):
+    grams = lambda t: classifier.ngram_buckets(t, 1 << 14).tolist()
+    half = "漢字かな交じり文" * 40
+    assert classifier.shape("a" * 64 + "!B") == "x!X"
+    assert grams(half + half) != grams(half + "#$9!" * 80) and len(grams(half + half)) == 3 * 10 - 3
+    assert grams("a" * 64) == grams("a" * 63 + "b") and len(grams("漢字" * 10)) == 1
+    url = "http://" + "ab/" * 40
+    assert grams(f"{url} {url}") != grams(f"{url} {url}x") and len(grams(f"{url} {url}")) == 3 * 4 - 3
+    r = random.Random(15)
+    clean = lambda k: "".join(r.choices("漢字仮名交文", k=k))
+    rows = [(i, clean(100) + ("".join(r.choices("#$%9", k=200)) if i % 2 else clean(200))) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(100)], "doc_id long, quality int")
+    weights = {x.doc_id: x.log_weight for x in classifier.resample(docs(spark, rows), labels).collect()}
+    assert min(weights[i] for i in range(100, 200, 2)) > max(weights[i] for i in range(101, 200, 2))
+
+
 def test_kth_largest(spark):
     r = random.Random(14)
     values = [r.gauss(0, 1) for _ in range(3000)] + [5.0] * 50 + [-1e9]
