@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lacework.llm.common import materialize, packed
+from lacework.llm.common import materialize, packed, text_or_empty
 from lacework.llm.graph import components
 
 BANDS, BAND_BINS = 44, 5
@@ -102,27 +102,31 @@ def buckets(elements: np.ndarray, bands: int, band_bins: int) -> np.ndarray:
 
 
 def signatures(df: DataFrame, words: int, bands: int, band_bins: int, id_col: str, text_col: str) -> DataFrame:
-    """(nd_id, nd_row, nd_n, node, nd_buckets): id, id or else hash of the text, set size, 128-bit hash of the set (null
-    if it is empty), bucket of each band."""
-    schema = T.StructType([T.StructField("nd_id", T.LongType()), T.StructField("nd_row", T.LongType()), T.StructField("nd_n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("nd_buckets", T.ArrayType(T.LongType()))])
+    """(nd_id, nd_row, nd_key, nd_n, node, nd_buckets): id, id or else hash of the text, 128-bit hash of the text, set size,
+    128-bit hash of the set (null if it is empty), bucket of each band."""
+    schema = T.StructType([T.StructField("nd_id", T.LongType()), T.StructField("nd_row", T.LongType()), T.StructField("nd_key", T.BinaryType()), T.StructField("nd_n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("nd_buckets", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, nodes, found = [], [], []
-            for text in batch.column(2):
+            for text in batch.column(3):
                 s = shingle_set(text.as_py(), words)
                 sizes.append(len(s))
                 nodes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 found.append(buckets(s, bands, band_bins) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=schema.names)
 
-    return df.select(F.col(id_col).cast("long").alias("nd_id"), _row_key(id_col, text_col).alias("nd_row"), F.col(text_col).alias("nd_text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).cast("long").alias("nd_id"), _row_key(id_col, text_col).alias("nd_row"), _text_key(text_col).alias("nd_key"), F.col(text_col).alias("nd_text")).mapInArrow(run, schema)
 
 
 def _row_key(id_col: str, text_col: str):
     return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
 
 
+def _text_key(text_col: str):
+    return F.unhex(F.md5(text_or_empty(text_col)))
+
+
 def _linked(n_both: np.ndarray, n_a, n_b, percent: int) -> np.ndarray:
     return 100 * n_both >= percent * (n_a + n_b - n_both)
 
@@ -177,25 +181,43 @@ def near_dup_components(df: DataFrame, words: int = 5, percent: int = 80, id_col
     that repeat an id and its text are one document. An empty table gives no rows. Other columns are not
     looked at. Ids are integers.
     """
+    found = _components_of_rows(df, words, percent, id_col, text_col, bands, band_bins, block_elements)
+    component = F.when(F.col("node").isNull(), F.col("nd_id")).otherwise(F.col("component_id"))
+    return found.select(F.col("nd_id").alias(id_col), F.col("nd_n").alias("n_shingles"), component.alias("component_id"), F.col("nd_id").eqNullSafe(component).alias("kept"))
+
+
+def _components_of_rows(df: DataFrame, words: int, percent: int, id_col: str, text_col: str, bands: int = BANDS, band_bins: int = BAND_BINS, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
+    """(nd_id, nd_key, nd_n, node, component, component_id) of each row of df: component is a node of it, component_id the
+    least id in it; all three are null for a text without words."""
     rows = materialize(signatures(df, words, bands, band_bins, id_col, text_col), "signatures")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("nd_id").alias("least"), F.first("nd_n").alias("n"), F.first("nd_row").alias("w_row"), F.first("nd_buckets").alias("buckets"))
     nodes = materialize(nodes, "nodes")
     links = _links(df, nodes, words, percent, id_col, text_col, block_elements)
     reached = components(links)
     least = reached.join(nodes, "node").groupBy("component").agg(F.min("least").alias("comp_least"))
-    least = reached.join(least, "component").select(F.col("node").alias("r_node"), "comp_least")
-    grouped = nodes.join(least, F.col("node") == F.col("r_node"), "left").select(F.col("node").alias("g_node"), F.coalesce("comp_least", "least").alias("component_id"))
-    found = rows.select("nd_id", "nd_n", "node").join(grouped, F.col("node") == F.col("g_node"), "left")
-    component = F.when(F.col("node").isNull(), F.col("nd_id")).otherwise(F.col("component_id"))
-    return found.select(F.col("nd_id").alias(id_col), F.col("nd_n").alias("n_shingles"), component.alias("component_id"), F.col("nd_id").eqNullSafe(component).alias("kept"))
+    least = reached.join(least, "component").select(F.col("node").alias("r_node"), "component", "comp_least")
+    grouped = nodes.join(least, F.col("node") == F.col("r_node"), "left").select(F.col("node").alias("g_node"), F.coalesce("component", "node").alias("component"), F.coalesce("comp_least", "least").alias("component_id"))
+    return rows.select("nd_id", "nd_key", "nd_n", "node").join(grouped, F.col("node") == F.col("g_node"), "left").drop("g_node")
 
 
 def near_dedup(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df, all columns, of one document of each component (see near_dup_components)."""
-    found = near_dup_components(df, words, percent, id_col, text_col)
-    kept = found.where("kept").select(F.col(id_col).alias("nd_keep")).distinct()
-    rows = packed(df, F.col(id_col).cast("long").alias("nd_id"))
-    return rows.join(kept, F.col("nd_id").eqNullSafe(F.col("nd_keep")), "left_semi").select("row.*")
+    """One row of each component (see near_dup_components), all columns: one with the smallest id, or any if none has an
+    id. Of rows that tie on that id, as of repeated rows, one stays. Rows of texts without words all stay."""
+    found = _components_of_rows(df, words, percent, id_col, text_col)
+    # A row is known by its id and its text, as ids may be null or name several texts.
+    stay = found.where("node is null or nd_id <=> component_id").groupBy("component", "nd_id", "nd_key").agg(F.count("*").alias("n"))
+    bare = F.col("component").isNull()
+    stay = stay.groupBy("component", F.when(bare, F.col("nd_id")), F.when(bare, F.col("nd_key"))).agg(F.min(F.struct("nd_key", "nd_id", "n")).alias("k"))
+    stay = stay.select(F.col("k.nd_id").alias("k_id"), F.col("k.nd_key").alias("k_key"), F.when(bare, 1).otherwise(F.col("k.n")).alias("k_n"))
+    stay = materialize(stay, "near-kept")
+    rows = packed(df, F.col(id_col).cast("long").alias("nd_id"), _text_key(text_col).alias("nd_key"))
+    own = (F.col("nd_key") == F.col("k_key")) & F.col("nd_id").eqNullSafe(F.col("k_id"))
+    alone = rows.join(stay.where("k_n = 1"), own, "left_semi").select("row.*")
+    repeated = stay.where("k_n > 1")
+    if repeated.isEmpty():
+        return alone
+    one = rows.join(repeated, own, "left_semi").groupBy("nd_id", "nd_key").agg(F.first("row").alias("row"))
+    return alone.union(one.select("row.*"))
 
 
 def _links(df: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: str, text_col: str, block_elements: int) -> DataFrame:

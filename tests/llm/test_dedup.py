@@ -125,6 +125,19 @@ def test_near_dedup_rows(spark, odd):
     assert {1, 2, 3, 6, 9, 10, 11} <= ids and not {7, 8} & ids
 
 
+def test_near_dedup_keeps_one_row_of_a_component(spark):
+    r = random.Random(20)
+    text = [" ".join(f"w{r.randrange(10**6)}" for _ in range(100)) for _ in range(6)]
+    near = lambda k, more: text[k] + f" {more}"
+    rows = [(1, text[0]), (None, near(0, "a")), (None, text[1])]  # a kept row without an id doesn't bring back others
+    rows += [(2, text[2]), (3, text[3]), (2, near(3, "b")), (3, near(2, "c"))]  # ids with a text of either component
+    rows += [(None, text[4]), (None, text[4]), (None, near(4, "d")), (5, text[5]), (5, text[5]), (5, near(5, "e"))]
+    rows += [(None, ""), (6, " ")]
+    kept = sorted(((str(x.doc_id), x.text[:20]) for x in neardup.near_dedup(docs(spark, rows)).collect()))
+    want = [(1, text[0]), (None, text[1]), (2, text[2]), (2, text[3]), (None, text[4]), (5, text[5]), (None, ""), (6, " ")]
+    assert kept == sorted((str(i), t[:20]) for i, t in want)
+
+
 def test_sketches():
     import numpy as np
 
