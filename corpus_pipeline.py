@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept:
 
 1. quality: importance resampling against the labelled good documents; those it rejects go.
-2. exact: of equal texts the smallest doc_id stays.
+2. exact: of equal texts one row of the smallest doc_id stays.
 3. near: of each component of near-duplicates (five-word shingles, similarity 0.8) one document stays.
 4. mix: documents are chosen by target weights of languages and sources, each at most once.
 5. encode: token ids of every text, decoded again.
@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exactdup.exact_dedup(docs)
+    return exactdup.exact_dedup(docs, one_row=True)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -202,13 +202,28 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_digest, table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """The rows of df, all columns, whose text stays: those that exact_groups marks as kept."""
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_digest, table_bytes: int = TABLE_BYTES, one_row: bool = False) -> DataFrame:
+    """The rows of df, all columns, whose text stays: those that exact_groups marks as kept. one_row: of rows that tie on
+    the smallest id of a text, or of a text whose ids are all null, one stays instead of all."""
     groups = materialize(content_groups(df, id_col, text_col, digest, table_bytes), "exact-groups")
     rows = packed(df, F.col(id_col).cast("long").alias("xd_id"), normalised(text_col).alias("xd_text")).withColumn("xd_key", digest(F.col("xd_text")))
     stays = (F.col("xd_key") == F.col("xd_digest")) & F.col("xd_id").eqNullSafe(F.col("xd_least"))
-    if groups.where("xd_content is not null").isEmpty():
+    several = not groups.where("xd_content is not null").isEmpty()
+    if not several:
         rows = rows.drop("xd_text")
     else:
         stays &= F.col("xd_content").isNull() | (F.col("xd_content") == F.col("xd_text"))
-    return rows.join(groups, stays, "left_semi").select("row.*")
+    if not one_row:
+        return rows.join(groups, stays, "left_semi").select("row.*")
+    # Ties can only be in groups of several rows. They are counted without texts, as there are none in most tables.
+    known = ["xd_key", "xd_id", *(["xd_text"] if several else [])]
+    ties = rows.join(groups.where("xd_rows > 1"), stays, "left_semi").groupBy(*known).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    ties = materialize(ties.select(*(F.col(c).alias(f"tie_{c}") for c in known)), "exact-ties")
+    kept = rows.join(groups, stays, "left_semi")
+    if ties.isEmpty():
+        return kept.select("row.*")
+    same = (F.col("xd_key") == F.col("tie_xd_key")) & F.col("xd_id").eqNullSafe(F.col("tie_xd_id"))
+    if several:
+        same &= F.col("xd_text") == F.col("tie_xd_text")
+    one = rows.join(ties, same, "left_semi").groupBy(*known).agg(F.first("row").alias("row"))
+    return kept.join(ties, same, "left_anti").select("row.*").union(one.select("row.*"))

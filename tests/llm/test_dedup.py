@@ -37,6 +37,23 @@ def test_exact(spark, odd, empty, kind):
     assert exactdup.exact_groups(empty).count() == 0 == exactdup.exact_dedup(empty).count()
 
 
+@pytest.mark.parametrize("kind", ["sha", "weak"])
+def test_exact_keeps_one_row_of_a_text(spark, odd, empty, kind):
+    digest = exactdup.sha256_digest if kind == "sha" else (lambda t: F.unhex(F.lpad(F.hex(F.length(t) % 3), 32, "0")))
+    kept = exactdup.exact_dedup(odd, digest=digest, one_row=True)
+    least = {}
+    for i, t in ODD_TEXTS:
+        least[norm(t)] = min((x for x in (i, least.get(norm(t))) if x is not None), default=None)
+    assert kept.columns == odd.columns
+    assert sorted((norm(x.text), str(x.doc_id)) for x in kept.collect()) == sorted((t, str(i)) for t, i in least.items())
+    assert exactdup.exact_dedup(empty, one_row=True).count() == 0
+    rows = docs(spark, [(None, "hot key")] * 500 + [(7, "seven")] * 3 + [(8, "eight"), (9, "eight")])
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)["exact"]
+    assert sorted((str(x.doc_id), x.text) for x in stage(spark, rows, "").collect()) == [("7", "seven"), ("8", "eight"), ("None", "hot key")]
+
+
 def test_grace_splits_and_keeps_collisions_apart():
     r = random.Random(1)
     records = [(bytes([r.randrange(256) for _ in range(2)]) * 8, str(r.randrange(400)).encode(), k, 1) for k in range(3000)]
