@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -44,6 +46,17 @@ def number_rows(df: DataFrame, order: list, name: str = "new_id", partitions: in
     return held.withColumn(name, offset + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
 
 
+def _shared_folder(spark) -> str:
+    """A new folder in the one that the executors share (spark.checkpoint.dir; a temporary one in a local session)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lacework-")
+    return f"{shared.rstrip('/')}/graph-{uuid.uuid4().hex}"
+
+
+def _as_table(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Graph:
     """edges: (src, dst), one row for each undirected edge, src < dst. vertices: (id[, label]); the ends of the edges
     where it isn't given. Views are made once and lazily; nothing is cached unless cache() is called."""
@@ -159,19 +172,21 @@ class Graph:
         """(id, new_id): ranks by (degree, id)."""
         return number_rows(self.degrees, ["degree", "id"]).select("id", "new_id")
 
-    def locality_ids(self, seed_degree: int = 512, rounds: int = 20) -> DataFrame:
+    def locality_ids(self, seed_degree: int = 512) -> DataFrame:
         """(id, new_id): ids that keep neighbourhoods together. Vertices of at least seed_degree neighbours are seeds, each
-        with a colour, by id; in each round an uncoloured vertex takes the least colour among its neighbours; new ids follow
-        (colour, round, id), and vertices that were not reached come last. A bijection with one range of ids a colour."""
+        with a colour, by id; in each round an uncoloured vertex takes the least colour among its neighbours, until no round
+        finds any; new ids follow (colour, round, id), and vertices without a path to a seed come last. A bijection with one
+        range of ids a colour."""
         seeds = number_rows(self.degrees.where(F.col("degree") >= seed_degree).select("id"), ["id"], "colour")
-        done = seeds.select("id", "colour", F.lit(0).alias("hop")).persist()
-        front = done
-        for hop in range(1, rounds + 1):
+        # Each round is a table, so that plans don't grow. Neighbours of a round are in it, the one before or the next.
+        spark, folder, hop = self.edges.sparkSession, _shared_folder(self.edges.sparkSession), 0
+        front = before = _as_table(seeds.select("id", "colour", F.lit(0).alias("hop")), f"{folder}/0")
+        while not front.isEmpty():
+            hop += 1
             step = front.join(self.und, front["id"] == self.und["src"]).groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("colour"))
-            front = step.join(done, "id", "left_anti").select("id", "colour", F.lit(hop).alias("hop")).persist()
-            if front.isEmpty():
-                break
-            done = done.unionByName(front)
+            known = front.union(before).select("id")
+            before, front = front, _as_table(step.join(known, "id", "left_anti").select("id", "colour", F.lit(hop).alias("hop")), f"{folder}/{hop}")
+        done = spark.read.schema(front.schema).parquet(*(f"{folder}/{k}" for k in range(hop + 1)))
         every = self.vertices.select("id").join(done, "id", "left").withColumn("lost", F.col("colour").isNull())
         return number_rows(every, ["lost", "colour", "hop", "id"]).select("id", "colour", "new_id")
 

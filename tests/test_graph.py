@@ -149,6 +149,13 @@ def test_locality_ids(spark):
     assert {x.id for x in ids if x.new_id >= 10} == {20, 21}
 
 
+def test_locality_ids_reach_the_end_of_a_long_path(spark):
+    star = [(0, i) for i in range(1, 5)]
+    path = [(4 + i, 5 + i) for i in range(26)]
+    ids = {x.id: (x.colour, x.new_id) for x in make(spark, star + path + [(100, 101)]).locality_ids(seed_degree=4).collect()}
+    assert all(ids[i] == (0, i) for i in range(31)) and ids[100] == (None, 31) and ids[101] == (None, 32)
+
+
 def test_labelled_paw(spark):
     g = make(spark, MICRO["paw"][0], {0: 0, 1: 0, 2: 1, 3: 1}).cache()
     found = fsm.mine_frequent(g, 1)
