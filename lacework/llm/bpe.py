@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lacework.llm import worker
+
 #: Fixed pattern of byte-level pre-tokens (as published with this kind of vocabulary).
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A blank before a visible character always starts a pre-token, so texts fall into independent chunks there.
@@ -32,8 +34,6 @@ BORDER = re.compile(r" (?=\S)")
 LOOSE_BLANK = re.compile(r" (?!\S)")
 #: Longer chunks are not remembered.
 LONGEST_KEPT = 48
-#: Chunks and pairs remembered by one worker.
-KEPT_CHUNKS, KEPT_PAIRS = 600_000, 1_000_000
 
 
 def split_chunks(text: str) -> list[str]:
@@ -84,10 +84,9 @@ class PrefixBpe:
         for k in vocab.values():
             self.suffixes.add_word(self.bytes_of[k].decode("latin-1"), (len(self.bytes_of[k]), k))
         self.suffixes.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs = worker.Remembered(worker.BUDGET // 4)
         self.single = {self.bytes_of[k]: k for k in vocab.values() if self.halves[k] is None}
-        self.first: dict[str, bytes] = {}
-        self.inner: dict[str, bytes] = {}
+        self.first, self.inner = worker.Remembered(worker.BUDGET // 16), worker.Remembered(worker.BUDGET // 8 * 5)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the encoding of bytes(left) + bytes(right) is [left, right]."""
@@ -120,12 +119,11 @@ class PrefixBpe:
                 last[end] = token  # a token is its own encoding: its merges make it from its bytes
                 continue
             before = last[start]
-            key = (before, token)
+            key = before << 32 | token
             fits = pairs.get(key)
             if fits is None:
-                if len(pairs) >= KEPT_PAIRS:
-                    pairs.clear()
-                fits = pairs[key] = test(before, token)
+                fits = test(before, token)
+                pairs.keep(key, fits, 0)
             if fits:
                 last[end] = token
         ids = []
@@ -148,11 +146,9 @@ class PrefixBpe:
             yield inner.get(word) or self._keep(inner, word, self.encode_chunk(" " + word))
 
     @staticmethod
-    def _keep(cache: dict, chunk: str, ids: bytes) -> bytes:
+    def _keep(cache: worker.Remembered, chunk: str, ids: bytes) -> bytes:
         if len(chunk) <= LONGEST_KEPT:
-            if len(cache) >= KEPT_CHUNKS:
-                cache.clear()
-            cache[chunk] = ids
+            cache.keep(chunk, ids, len(chunk) + len(ids))
         return ids
 
     def encode(self, text: str) -> np.ndarray:
@@ -168,6 +164,7 @@ class PrefixBpe:
 
 
 _LOADED: dict[str, PrefixBpe] = {}
+worker.forgets(_LOADED.clear)
 
 
 def vocabulary(path: str) -> PrefixBpe:
@@ -199,7 +196,7 @@ def encode_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
                     columns.append(pa.array(map(bpe.decode, ids), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(id_col, text_col).mapInArrow(worker.tasks_of("bpe", run), schema)
 
 
 def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

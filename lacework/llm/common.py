@@ -19,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. A cluster names it in spark.checkpoint.dir; only where
-    that is unset (a local session, as in tests) a temporary folder is made and remembered."""
+    that is unset in a local session, as in tests, a temporary folder is made and remembered."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lacework-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,14 +43,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Deletes the files of a table that materialize() wrote, once nothing reads it any more."""
-    spark, shared = df.sparkSession, shared_dir(df.sparkSession)
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder.replace("///", "/").startswith(shared.replace("///", "/")):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_table(*tables: DataFrame) -> None:
+    """Deletes the files of tables that materialize() wrote, once nothing reads them any more."""
+    for df in tables:
+        spark, shared = df.sparkSession, shared_dir(df.sparkSession)
+        jvm = spark.sparkContext._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.replace("///", "/").startswith(shared.replace("///", "/")):
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

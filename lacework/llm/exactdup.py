@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lacework.llm import worker
 from lacework.llm.common import SPACE, materialize, packed, text_or_empty
 
 #: Bytes of contents that a table holds before its bucket is split.
@@ -174,7 +175,7 @@ def content_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     (nulls aside), number of rows. xd_content is null unless several texts have this digest."""
     rows = df.select(normalised(text_col).alias("xd_content"), F.col(id_col).cast("long").alias("xd_least"))
     rows = rows.select(digest(F.col("xd_content")).alias("xd_digest"), "xd_content", "xd_least", F.lit(1).cast("long").alias("xd_rows"))
-    return rows.mapInArrow(_grace_partition(table_bytes, False), _ENTRY).repartition("xd_digest").mapInArrow(_grace_partition(table_bytes, True), _ENTRY)
+    return rows.mapInArrow(worker.tasks_of("exactdup", _grace_partition(table_bytes, False)), _ENTRY).repartition("xd_digest").mapInArrow(worker.tasks_of("exactdup", _grace_partition(table_bytes, True)), _ENTRY)
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_digest, table_bytes: int = TABLE_BYTES) -> DataFrame:

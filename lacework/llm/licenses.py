@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lacework.llm import worker
+
 LEAST = 0.8
 WORD = re.compile(r"[^\W_]+")
 
@@ -274,4 +276,4 @@ def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, least:
             columns = [pa.array(ids, batch.schema.field(0).type), pa.array([x.name for x in found], pa.string()), pa.array([x.coverage for x in found], pa.float64()), pa.array([x.start for x in found], pa.int64()), pa.array([x.end for x in found], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(worker.tasks_of("licenses", run), schema)

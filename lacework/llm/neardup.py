@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lacework.llm import worker
 from lacework.llm.common import materialize, packed, text_or_empty
 from lacework.llm.graph import components
 
@@ -48,17 +49,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _WordHashes(dict):
+class _WordHashes(worker.Remembered):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
         h = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
-            self[word] = h
+            self.keep(word, h, len(word) + 60)
         return h
 
 
-_HASHES = _WordHashes()
+_HASHES = _WordHashes(worker.BUDGET // 2)
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -116,7 +115,7 @@ def signatures(df: DataFrame, words: int, bands: int, band_bins: int, id_col: st
                 found.append(buckets(s, bands, band_bins) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=schema.names)
 
-    return df.select(F.col(id_col).cast("long").alias("nd_id"), _row_key(id_col, text_col).alias("nd_row"), _text_key(text_col).alias("nd_key"), F.col(text_col).alias("nd_text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).cast("long").alias("nd_id"), _row_key(id_col, text_col).alias("nd_row"), _text_key(text_col).alias("nd_key"), F.col(text_col).alias("nd_text")).mapInArrow(worker.tasks_of("neardup", run), schema)
 
 
 def _row_key(id_col: str, text_col: str):
@@ -239,7 +238,7 @@ def _links(df: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: st
 
     best = stars.groupBy("node").agg(F.max(F.struct("shared", "score", "pivot")).alias("b")).select("node", F.col("b.pivot").alias("pivot"))
     pairs = texts.select("node", "text").join(best, "node").join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
-    first = materialize(pairs.select("node", "pivot", "text", "pivot_text").mapInArrow(_verify_pairs(words, percent), "a binary, b binary"), "verified")
+    first = materialize(pairs.select("node", "pivot", "text", "pivot_text").mapInArrow(worker.tasks_of("neardup", _verify_pairs(words, percent)), "a binary, b binary"), "verified")
 
     known = components(first)
     members = texts.join(known.withColumnRenamed("node", "k_node"), F.col("node") == F.col("k_node"), "left").select("node", "family", "n", "text", F.coalesce("component", "node").alias("comp"))
@@ -275,4 +274,4 @@ def _texts(df: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col:
             yield batch.filter(pa.array(same, pa.bool_()))
 
     docs = df.select(_row_key(id_col, text_col).alias("t_row"), F.col(text_col).alias("text"))
-    return docs.join(wanted, F.col("t_row") == F.col("w_row")).select("node", "family", "n", "text").mapInArrow(own, schema)
+    return docs.join(wanted, F.col("t_row") == F.col("w_row")).select("node", "family", "n", "text").mapInArrow(worker.tasks_of("neardup", own), schema)

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lacework.llm import worker
 from lacework.llm.bpe import LONGEST_KEPT, slices, split_chunks
 from lacework.llm.common import fresh_path
 
@@ -217,6 +218,7 @@ class LibraryEncoder:
 
 
 _LOADED: dict[str, LibraryEncoder] = {}
+worker.forgets(_LOADED.clear)
 
 
 def library_encoder(path: str) -> LibraryEncoder:
@@ -262,7 +264,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
             yield segment()
 
     rows = df.select(F.col(id_col).cast("long").alias("tf_id"), F.col(text_col).alias("tf_text"))
-    rows.repartitionByRange(shards, "tf_id").sortWithinPartitions("tf_id").mapInArrow(run, _FILES).write.parquet(path)
+    rows.repartitionByRange(shards, "tf_id").sortWithinPartitions("tf_id").mapInArrow(worker.tasks_of("tokenfile", run), _FILES).write.parquet(path)
 
 
 def read_token_files(df: DataFrame, with_ids: bool = True) -> DataFrame:
