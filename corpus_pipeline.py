@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacework.llm import bpe, classifier, exactdup, mixing, neardup
-from lacework.llm.common import materialize, table
+from lacework.llm.common import drop_table, materialize, table
 from lacework.llm.queries import byte_bpe
 
 #: Nine tenths of the tokens that are left, languages by weight, sources alike, no document twice.
@@ -23,22 +23,31 @@ MIXTURE = mixing.Mixture(weights={("en",): 5.0, ("de",): 2.0, ("fr",): 2.0, ("es
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts count as empty: their weight is 0. Ties at the last key all stay, rows with one id share
+    their noise. Without labels all rows stay; an empty table stays empty."""
     return classifier.select_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A null text counts as empty. One row of each text stays, that of the smallest id; null ids lose against others, and
+    of rows that tie any one stays. An empty table stays empty."""
     return exactdup.exact_dedup(docs, one_row=True)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without words all stay. One row of each component stays, that of the smallest id; null ids lose against others,
+    and of rows that tie any one stays. An empty table stays empty."""
     return neardup.near_dedup(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A null language or source is a value of its own; a null text has no tokens and stays with its leaf. Rows that repeat an
+    id share their place. An empty table stays empty."""
     return mixing.mix(docs, MIXTURE).drop("mx_epochs")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A null or empty text gives no ids. Null and repeated ids stay rows of their own; an empty table gives no rows."""
     rows = bpe.encode_decode(docs, byte_bpe())
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -50,9 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """What the last stage makes of the documents. Each stage's rows are a table in the shared folder until the next
+    stage has written its own; the last of these tables stays, as the result reads it."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"pipeline-{name}")
+            drop_table(*before)
+            before = [docs]
     return docs
