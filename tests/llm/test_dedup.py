@@ -207,6 +207,8 @@ def test_repeats(spark, odd, empty, chunk, monkeypatch):
         assert of(cut) == of(whole)
         return
     found = suffixdup.remove_repeats(docs(spark, rows), 40, slab=8).collect()
+    passages = brute_spans([(t or "").encode() for _, t in rows], 25)
+    assert sorted((str(x.doc_id), x.n_bytes, sum(p.end - p.start for p in x.passages), len(x.passages)) for x in found) == sorted((str(i), *w[:3]) for (i, _), w in zip(rows, passages))
     want = brute_spans([(t or "").encode() for _, t in rows], 40)
     assert sorted((str(x.doc_id), x.n_bytes, x.n_removed, len(x.spans), bytes(x.kept)) for x in found) == sorted((str(i), *w) for (i, _), w in zip(rows, want))
     found = suffixdup.remove_repeats(odd, 40).collect()
