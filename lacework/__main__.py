@@ -21,7 +21,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from lacework.operators import analysis, fsm, motif
-from lacework.operators.graph import check_edges
+from lacework.operators.graph import InvalidGraph, check_edges
 from lacework.operators.matching import count
 from lacework.plans.pattern import TRIANGLE, WEDGE, chain, clique, cycle, star
 from lacework.sources import binary, text
@@ -66,7 +66,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
         _, v = text.standardized_outputs(text.read_edges(spark, args.source), args.out)
         return [f"vertices={v}"]
     if args.command == "validate":
-        return lines(check_edges(binary.read_directed(spark, args.graph)))
+        found = check_edges(binary.read_directed(spark, args.graph)).first()
+        said = " ".join(f"{k}={v}" for k, v in found.asDict().items())
+        if found.n_self_loops or found.n_dups or found.n_asym:
+            raise InvalidGraph(said)
+        return [said]
     h = binary.read_header(args.graph)
     graph = binary.read_graph(spark, args.graph, labels=h.vertex_labels and args.command in ("fsm", "adjacency")).cache()
     if args.command == "count":

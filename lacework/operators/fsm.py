@@ -91,16 +91,17 @@ def chain_support(graph: Graph, threshold: int = 1, edges: DataFrame | None = No
     a = a.withColumns({"a": F.col("c") - own, "u": F.when(own == 0, F.col("low")).when(F.col("low") == F.col("v1"), F.col("high")).otherwise(F.col("low"))})
     a = a.where((F.col("a") >= 2) | (F.col("a") == 1) & (F.col("w").isNull() | (F.col("w") != F.col("u"))))
     tuples = ["l0", "l1", "l2", "l3"]
-    middle = a.groupBy(*tuples).agg(F.count_distinct("v0").alias("d0"), F.count_distinct("v1").alias("d1"))
+    middle = graph.kept(a.select("v0", *tuples).distinct().groupBy(*tuples).agg(F.count("*").alias("d0")))
 
-    # v2: a neighbour of v0 for which some v1 is left that is neither v2 nor needs v2 as its v3.
+    # v2: a neighbour of v0 for which some v1 is left that is neither v2 nor needs v2 as its v3. Few v2 have none left.
     good = b.groupBy("v0", "l0", "l1", "l3").agg(F.count("*").alias("g"))
     bans = b.select("v0", "l1", "l3", F.explode(F.array("v1", "w")).alias("v2")).where("v2 is not null").groupBy("v0", "l1", "l3", "v2").agg(F.count("*").alias("banned"))
-    ends = good.join(und.select("v0", F.col("v1").alias("v2"), F.col("l1").alias("l2")), "v0").join(bans, ["v0", "l1", "l3", "v2"], "left")
-    ends = graph.kept(ends.where(F.col("g") > F.coalesce("banned", F.lit(0))).groupBy(*tuples).agg(F.count_distinct("v2").alias("d2")))
-    # v3 in (l0, l1, l2, l3) is v2 in the reversed path.
-    back = ends.select(F.col("l1").alias("l0"), F.col("l0").alias("l1"), F.col("l3").alias("l2"), F.col("l2").alias("l3"), F.col("d2").alias("d3"))
-    found = middle.join(ends, tuples).join(back, tuples).select(*tuples, F.least("d0", "d1", "d2", "d3").alias("support"))
+    none = bans.join(good, ["v0", "l1", "l3"]).where("banned >= g").select("v0", "l1", "l3", "v2")
+    ends = good.drop("g").join(und.select("v0", F.col("v1").alias("v2"), F.col("l1").alias("l2")), "v0").join(none, ["v0", "l1", "l3", "v2"], "left_anti")
+    ends = graph.kept(ends.select("v2", *tuples).distinct().groupBy(*tuples).agg(F.count("*").alias("d2")))
+    # v1 and v3 in (l0, l1, l2, l3) are v0 and v2 in the reversed path.
+    back = lambda df, name: df.select(F.col("l1").alias("l0"), F.col("l0").alias("l1"), F.col("l3").alias("l2"), F.col("l2").alias("l3"), F.col(df.columns[-1]).alias(name))
+    found = middle.join(back(middle, "d1"), tuples).join(ends, tuples).join(back(ends, "d3"), tuples).select(*tuples, F.least("d0", "d1", "d2", "d3").alias("support"))
     rule = "l0 < l1 or (l0 = l1 and l2 <= l3)" if canonical else "l0 <= l1"
     return found.where(rule).where(F.col("support") >= threshold)
 

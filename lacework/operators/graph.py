@@ -32,23 +32,28 @@ def symmetrize(edges: DataFrame) -> DataFrame:
 
 def number_rows(df: DataFrame, order: list, name: str = "new_id", partitions: int | None = None) -> DataFrame:
     """Dense numbers from 0 in the given order, without sorting all rows in one task: ranges are sorted apart, and each
-    starts at the sum of the counts before it (one number a range on the driver)."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).persist()
-    part = F.shiftright("_at", 33)
-    counts = dict(held.groupBy(part.alias("p")).count().collect())
-    start, starts = 0, {}
-    for p in sorted(counts):
-        starts[p], start = start, start + counts[p]
-    if not starts:
-        return held.withColumn(name, F.col("_at")).drop("_at")
-    offset = F.element_at(F.array(*(F.lit(starts.get(p, 0)).cast("long") for p in range(max(starts) + 1))), (part + 1).cast("int"))
-    return held.withColumn(name, offset + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
-
-
-def _shared_folder(spark) -> str:
+    starts at the sum of the counts before it (one number a range on the driver). The sorted ranges are a table in the
+    shared folder, so that a lost executor can't have ranges cut anew under numbers that are given already."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    held = _as_table(ranged, shared_folder(spark)).withColumn("_p", F.shiftright("_at", 33))
+    start, starts = 0, []
+    for p, c in sorted(held.groupBy("_p").count().collect()):
+        starts.append((p, start))
+        start += c
+    starts = F.broadcast(spark.createDataFrame(starts, "_p long, _start long"))
+    return held.join(starts, "_p").withColumn(name, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_p", "_start")
+
+
+def shared_folder(spark) -> str:
     """A new folder in the one that the executors share (spark.checkpoint.dir; a temporary one in a local session)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lacework-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="lacework-")
+        spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/graph-{uuid.uuid4().hex}"
 
 
@@ -125,6 +130,7 @@ class Graph:
         """(src, dst): every edge from the end with the smaller (degree, id). No vertex has more than sqrt(2E) of them,
         which bounds the lists that cliques intersect, however large a hub is. For cliques only."""
         deg = self.und.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("k"))
+        deg = self.kept(deg)
         e = self.edges.join(deg.select(F.col("v").alias("src"), F.col("k").alias("ks")), "src").join(deg.select(F.col("v").alias("dst"), F.col("k").alias("kd")), "dst")
         first = F.struct("ks", "src") < F.struct("kd", "dst")
         return e.select(F.when(first, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("dst"))
@@ -179,7 +185,7 @@ class Graph:
         range of ids a colour."""
         seeds = number_rows(self.degrees.where(F.col("degree") >= seed_degree).select("id"), ["id"], "colour")
         # Each round is a table, so that plans don't grow. Neighbours of a round are in it, the one before or the next.
-        spark, folder, hop = self.edges.sparkSession, _shared_folder(self.edges.sparkSession), 0
+        spark, folder, hop = self.edges.sparkSession, shared_folder(self.edges.sparkSession), 0
         front = before = _as_table(seeds.select("id", "colour", F.lit(0).alias("hop")), f"{folder}/0")
         while not front.isEmpty():
             hop += 1

@@ -40,13 +40,20 @@ def _candidates(plan: Plan, k: int) -> Column:
     return F.filter(found, passes)
 
 
+def _labelled(graph: Graph, plan: Plan, k: int, rows: DataFrame) -> DataFrame:
+    """The rows whose vertex at place k has the label that the pattern asks for there."""
+    label = plan.pattern.label(plan.order[k])
+    return rows if label is None else rows.join(graph.vertices_with_label(label).select(F.col("id").alias(f"v{k}")), f"v{k}", "left_semi")
+
+
 def _extend(graph: Graph, plan: Plan, last: int) -> DataFrame:
     """Partial matches v0 .. v(last - 1), with the lists that later steps need."""
     adj = graph.adj
-    rows = adj.select(F.col("id").alias("v0"), F.col("nbrs").alias("n0"))
+    rows = _labelled(graph, plan, 0, adj.select(F.col("id").alias("v0"), F.col("nbrs").alias("n0")))
     for k in range(1, last):
         keep = [f"v{i}" for i in range(k)] + [f"n{i}" for i in range(k) if any(i in s.back + s.anti for s in plan.steps[k:])]
         rows = rows.withColumn("_c", F.explode(_candidates(plan, k))).select(*keep, F.col("_c").alias(f"v{k}"))
+        rows = _labelled(graph, plan, k, rows)
         if plan.lists_needed(k):
             rows = rows.join(adj.select(F.col("id").alias(f"v{k}"), F.col("nbrs").alias(f"n{k}")), f"v{k}")
     return rows
@@ -56,12 +63,14 @@ def matches(graph: Graph, pattern: Pattern, induced: bool = False) -> DataFrame:
     """One row for each match, (p0, p1, ...) by pattern vertex; of the automorphic images of a match, one."""
     plan = compile_pattern(pattern, induced)
     n = pattern.size
-    rows = _extend(graph, plan, n - 1).withColumn(f"v{n - 1}", F.explode(_candidates(plan, n - 1)))
+    rows = _labelled(graph, plan, n - 1, _extend(graph, plan, n - 1).withColumn(f"v{n - 1}", F.explode(_candidates(plan, n - 1))))
     return rows.select(*(F.col(f"v{plan.order.index(p)}").alias(f"p{p}") for p in range(n)))
 
 
 def count(graph: Graph, pattern: Pattern, induced: bool = False, wide: bool = False) -> DataFrame:
-    """One row (n): how many matches, each counted once."""
+    """One row (n): how many matches, each counted once. With labels the last vertex is listed too, to look at its label."""
+    if pattern.labels and any(x is not None for x in pattern.labels):
+        return matches(graph, pattern, induced).agg(_total(F.lit(1), wide).alias("n"))
     if pattern.is_clique():
         return count_cliques(graph, pattern.size, wide)
     plan = compile_pattern(pattern, induced)

@@ -17,22 +17,30 @@ class Pattern:
 
     size: int
     edges: frozenset[tuple[int, int]] = frozenset()
+    labels: tuple[int | None, ...] | None = None
 
     @staticmethod
-    def of(size: int, edges: Iterable[tuple[int, int]]) -> Pattern:
+    def of(size: int, edges: Iterable[tuple[int, int]], labels: Iterable[int | None] | None = None) -> Pattern:
+        """labels: one for each vertex, None where any will do."""
         found = frozenset((min(e), max(e)) for e in edges)
         if any(a == b or a < 0 or b >= size for a, b in found):
             raise ValueError(f"edges must join two of {size} vertices: {sorted(found)}")
-        return Pattern(size, found)
+        labels = None if labels is None else tuple(labels)
+        if labels is not None and len(labels) != size:
+            raise ValueError(f"{len(labels)} labels for {size} vertices")
+        return Pattern(size, found, labels)
+
+    def label(self, v: int) -> int | None:
+        return self.labels[v] if self.labels else None
 
     def has_edge(self, a: int, b: int) -> bool:
         return (min(a, b), max(a, b)) in self.edges
 
     def add_edge(self, a: int, b: int) -> Pattern:
-        return Pattern.of(self.size, [*self.edges, (a, b)])
+        return Pattern.of(self.size, [*self.edges, (a, b)], self.labels)
 
     def clear_edges(self) -> Pattern:
-        return Pattern(self.size)
+        return Pattern(self.size, labels=self.labels)
 
     def neighbours(self, v: int) -> set[int]:
         return {a + b - v for a, b in self.edges if v in (a, b)}
@@ -54,7 +62,7 @@ class Pattern:
         return self.size >= 4 and self.is_connected() and all(len(self.neighbours(v)) == 2 for v in range(self.size))
 
     def automorphisms(self) -> list[tuple[int, ...]]:
-        return [p for p in permutations(range(self.size)) if all(self.has_edge(p[a], p[b]) for a, b in self.edges)]
+        return [p for p in permutations(range(self.size)) if all(self.has_edge(p[a], p[b]) for a, b in self.edges) and all(self.label(p[v]) == self.label(v) for v in range(self.size))]
 
     def multiplicity(self) -> int:
         """How often an unrestricted search meets each match."""

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lacework import roundtrips
 from lacework.functions import setops
 from lacework.operators import analysis, fsm, motif
 from lacework.operators.graph import Graph, check_edges
@@ -138,6 +139,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trace_shares": lambda s, d: analysis.trace_shares(_trace(s, d), graph(s, d).degrees),
 }
 
+def _labelled(labels: list[int | None], edges: list[tuple[int, int]], induced: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: _n(count(graph(s, d, labels=True), Pattern.of(len(labels), edges, labels), induced), "patterns")
+
+
+_SAYS = (("count", "triangle", "FILE"), ("count", "wedge", "FILE", "--induced"), ("motif", "FILE"), ("validate", "FILE"))
+QUERIES |= {
+    "graph_file": lambda s, d: roundtrips.graph_file(graph(s, d, labels=True)),
+    "edge_label_file": lambda s, d: roundtrips.edge_label_file(graph(s, d), True),
+    "edge_label_file_skipped": lambda s, d: roundtrips.edge_label_file(graph(s, d), False),
+    "edge_list_file": lambda s, d: roundtrips.edge_list_file(graph(s, d)),
+    "label_file": lambda s, d: roundtrips.label_file(graph(s, d, labels=True)),
+    "text_file": lambda s, d: roundtrips.text_file(graph(s, d)),
+    "standardized_files": lambda s, d: roundtrips.standardized_files(co_purchase_edges(s, d)),
+    "shuffled_file": lambda s, d: roundtrips.relabelled_file(graph(s, d), "shuffled"),
+    "locality_file": lambda s, d: roundtrips.relabelled_file(graph(s, d), "locality"),
+    "oriented_file": lambda s, d: roundtrips.oriented_file(graph(s, d)),
+    "trace_file": lambda s, d: roundtrips.trace_file(s.read.parquet(f"{d}/lineitem.parquet").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("vid")), graph(s, d)),
+    "console_counts": lambda s, d: roundtrips.console(graph(s, d), _SAYS),
+    "console_fsm": lambda s, d: roundtrips.console(graph(s, d, labels=True), (("fsm", "FILE", str(THETA)),)),
+    "pattern_table": lambda s, d: roundtrips.pattern_table(s),
+    "labelled_triangle_count": _labelled([0, 0, 1], [(0, 1), (1, 2), (0, 2)]),
+    "labelled_wedge_count": _labelled([2, 1, None], [(0, 1), (0, 2)], True),
+    "labelled_chain_count": _labelled([3, None, None, 3], [(0, 1), (1, 2), (2, 3)]),
+    "labelled_start_count": _labelled([4, None, None], [(0, 1), (0, 2)]),
+}
+
 _GRAPH = """
     e AS (SELECT DISTINCT a.l_partkey AS s, b.l_partkey AS d FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey {where}),
     u AS (SELECT s, d FROM e UNION ALL SELECT d, s FROM e),
@@ -228,3 +255,29 @@ ORACLE_SQL: dict[str, str] = {
     "trace_top": _sql("SELECT vid, accesses, volume FROM tv ORDER BY volume DESC, vid LIMIT 10", more=_TRACE),
     "trace_shares": _sql("SELECT part, sum(n) OVER (ORDER BY part)::BIGINT AS vertices, round(100.0 * v / (SELECT sum(volume) FROM tv), 4) AS share FROM (SELECT part, count(*) AS n, max(v)::DOUBLE AS v FROM run GROUP BY part)", more=_TRACE + ", run AS (SELECT ceil(sum(k) OVER w * 40.0 / (SELECT sum(k) FROM dg))::INTEGER AS part, sum(volume) OVER w AS v FROM tv WINDOW w AS (ORDER BY volume DESC, vid ROWS UNBOUNDED PRECEDING))"),
 }
+
+_DENSE = "r AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM dg), de AS (SELECT a.i AS s, b.i AS d, l FROM e JOIN r a ON a.v = s JOIN r b ON b.v = d JOIN lab ON lab.v = s), du AS (SELECT s, d FROM de UNION ALL SELECT d, s FROM de)"
+_SUMS = f"(SELECT count(*) FROM e) AS edges, (SELECT count(*) {_TRI}) AS triangles, (SELECT sum(k * (k - 1) // 2)::BIGINT FROM dg) AS wedges"
+_E = "(SELECT count(*) FROM e)::VARCHAR"
+ORACLE_SQL |= {
+    "graph_file": _sql("SELECT s AS src, d AS dst, l AS src_label FROM de", more=_DENSE),
+    "edge_label_file": _sql("SELECT s AS src, d AS dst, (s + d) % 7 AS label FROM du", more=_DENSE),
+    "edge_label_file_skipped": _sql("SELECT s AS src, d AS dst FROM du", more=_DENSE),
+    "edge_list_file": _sql("SELECT s AS src, d AS dst FROM du", more=_DENSE),
+    "label_file": _sql("SELECT i AS id, l AS label FROM r JOIN lab USING (v)", more=_DENSE),
+    "text_file": _sql("SELECT s AS src, d AS dst FROM u"),
+    # The edge list has a first line with the numbers of vertices and edges.
+    "standardized_files": _sql("SELECT f AS file, CASE f WHEN 'biedgelist' THEN n WHEN 'edgelist' THEN n + 1 ELSE 2 * n END AS records, CASE f WHEN 'biedgelist' THEN t WHEN 'edgelist' THEN t + n + (SELECT count(*) FROM r) ELSE 2 * t END::BIGINT AS ids FROM (SELECT count(*) AS n, sum(s + d)::BIGINT AS t FROM de), (VALUES ('biedgelist'), ('edgelist'), ('rs_edgelist'), ('rs_adjlist')) x(f)", more=_DENSE),
+    "shuffled_file": _sql(f"SELECT {_SUMS}"),
+    "locality_file": _sql(f"SELECT {_SUMS}"),
+    # Ranks by (degree, dense id) are those by (degree, id).
+    "oriented_file": ORACLE_SQL["degree_rank_edges"],
+    "trace_file": ORACLE_SQL["trace_volume"],
+    "console_counts": _sql(f"SELECT 'triangle=' || (SELECT count(*) {_TRI}) AS line UNION ALL SELECT 'wedge=' || (SELECT count(*) {_WEDGE_INDUCED}) UNION ALL SELECT 'triangle=' || (SELECT count(*) {_TRI}) || ' wedge_noninduced=' || (SELECT sum(k * (k - 1) // 2)::BIGINT FROM dg) || ' wedge_induced=' || (SELECT count(*) {_WEDGE_INDUCED}) UNION ALL SELECT 'n_self_loops=0 n_dups=0 n_asym=0 degree_sum=' || (SELECT count(*) FROM u) || ' num_edges=' || (SELECT count(*) FROM u)"),
+    "console_fsm": _sql("SELECT 'template=' || template || ' patterns=' || patterns || ' total_support=' || total_support AS line FROM (" + _SUMMARY.replace("FROM lab GROUP BY l HAVING", "FROM lab WHERE v IN (SELECT v FROM dg) GROUP BY l HAVING") + ")"),
+    "pattern_table": "SELECT * FROM (VALUES ('triangle', 3, 3, true, true, false, 6, 'Pattern: (size:3, num_edges:3) (0, 1) (0, 2) (1, 2)', 0), ('wedge', 3, 2, true, false, false, 2, 'Pattern: (size:3, num_edges:2) (0, 1) (0, 2)', 0), ('clique4', 4, 6, true, true, false, 24, 'Pattern: (size:4, num_edges:6) (0, 1) (0, 2) (0, 3) (1, 2) (1, 3) (2, 3)', 0), ('clique5', 5, 10, true, true, false, 120, 'Pattern: (size:5, num_edges:10) (0, 1) (0, 2) (0, 3) (0, 4) (1, 2) (1, 3) (1, 4) (2, 3) (2, 4) (3, 4)', 0), ('chain4', 4, 3, true, false, false, 2, 'Pattern: (size:4, num_edges:3) (0, 1) (1, 2) (2, 3)', 0), ('cycle4', 4, 4, true, false, true, 8, 'Pattern: (size:4, num_edges:4) (0, 1) (0, 3) (1, 2) (2, 3)', 0), ('cycle5', 5, 5, true, false, true, 10, 'Pattern: (size:5, num_edges:5) (0, 1) (0, 4) (1, 2) (2, 3) (3, 4)', 0), ('star3', 4, 3, true, false, false, 6, 'Pattern: (size:4, num_edges:3) (0, 1) (0, 2) (0, 3)', 0), ('diamond', 4, 5, true, false, false, 4, 'Pattern: (size:4, num_edges:5) (0, 1) (0, 2) (0, 3) (1, 2) (1, 3)', 0), ('split', 4, 2, false, false, false, 8, 'Pattern: (size:4, num_edges:2) (0, 1) (2, 3)', 0), ('bare', 3, 0, false, false, false, 6, 'Pattern: (size:3, num_edges:0)', 0), ('labelled_triangle', 3, 3, true, true, false, 2, 'Pattern: (size:3, num_edges:3) (0, 1) (0, 2) (1, 2)', 0)) t(name, size, n_edges, connected, clique, cycle, automorphisms, text, equals)",
+    "labelled_triangle_count": _sql("SELECT count(*) // 2 AS patterns FROM lu a JOIN lu b ON a.s = b.s JOIN u c ON c.s = a.d AND c.d = b.d WHERE a.ls = 1 AND a.ld = 0 AND b.ld = 0"),
+    "labelled_wedge_count": _sql("SELECT count(*) AS patterns FROM lu a JOIN lu b ON a.s = b.s AND a.d <> b.d WHERE a.ls = 2 AND a.ld = 1 AND NOT EXISTS (SELECT 1 FROM u x WHERE x.s = a.d AND x.d = b.d)"),
+    "labelled_chain_count": _sql("SELECT count(*) // 2 AS patterns FROM u m JOIN lu a ON a.s = m.s AND a.d <> m.d JOIN lu b ON b.s = m.d AND b.d <> m.s AND b.d <> a.d WHERE a.ld = 3 AND b.ld = 3"),
+    "labelled_start_count": _sql("SELECT sum(k * (k - 1) // 2)::BIGINT AS patterns FROM dg JOIN lab USING (v) WHERE l = 4"),
+}
