@@ -1,18 +1,22 @@
 """Secret scans: fixed shapes, and a battery of randomness tests for the rest.
 
 Candidates are long runs of characters that keys are written in. For each, the encoding is inferred from
-its characters, and three tests are made over that encoding's alphabet:
+its characters, and three statistics are taken over that encoding's alphabet:
 
-* chi-squared uniformity. The null hypothesis is *ordinary* text, whose symbols differ from the uniform
-  distribution by a fixed divergence for each encoding; then the statistic is noncentral chi-squared with a
-  noncentrality that grows with the length. Its lower tail is the p-value: a random key of 20 characters
-  is weak evidence, one of 60 strong.
-* runs of the upper and the lower half of the alphabet, and
-* serial correlation of neighbouring symbols: a random key passes both.
+* chi-squared against the uniform distribution, as its excess for each character;
+* runs of the classes of the alphabet (upper case, lower case, digits, marks; or its halves), as the share of neighbours
+  that differ; and
+* serial correlation of neighbouring symbols.
 
-Of the candidates of a document that pass the last two, those found are chosen by the Benjamini-Hochberg
-procedure over p-values that are weighted by length, so that the expected share of ordinary strings among
-what is reported stays below `fdr`.
+The null hypothesis is an *ordinary* string: joined words with a few digits, numbers, dates. What the statistics of such
+strings are was measured by simulation for each encoding and length (NULL); their spread shrinks with the root of the
+length, so a random key of 20 characters is weak evidence and one of 60 strong. Each statistic gives a p-value, how seldom
+an ordinary string looks as random; the three are combined by a weighted sum of their normal scores, whose spread takes
+their correlation in.
+
+What is found is chosen by the Benjamini-Hochberg procedure once over the candidates of the whole table, with p-values
+weighted by length, so that the expected share of ordinary strings among all that is reported stays below `fdr`. It needs
+counts by score and length only, a histogram of fixed size.
 
 All of it is DataFrame functions.
 """
@@ -20,27 +24,37 @@ All of it is DataFrame functions.
 from __future__ import annotations
 
 from functools import reduce
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacework.llm.common import text_or_empty
+from lacework.llm.common import materialize, text_or_empty
 
 #: Fixed patterns of the base kinds, with the group that has a least length, and that length.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = (("assign", ASSIGN, 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]{24,}", 0, 24))
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
-#: Encodings from the narrowest: name, pattern of a whole candidate, alphabet, divergence of ordinary strings
-#: from the uniform distribution (sum of (p - 1/k)^2 * k).
+#: Encodings from the narrowest: name, pattern of a whole candidate, alphabet, class of each symbol.
 ENCODINGS = (
-    ("decimal", r"^[0-9]+$", "0123456789", 0.6),
-    ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.9),
-    ("base32", r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.1),
-    ("base64", r"^.*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 3.0),
+    ("decimal", r"^[0-9]+$", "0123456789", "0" * 5 + "1" * 5),
+    ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", "0" * 10 + "1" * 6),
+    ("base32", r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0" * 16 + "1" * 16),
+    ("base64", r"^.*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0" * 26 + "1" * 26 + "2" * 10 + "3" * 2),
 )
+#: Of ordinary strings, for each encoding: mean and spread (for one character) of the excess of chi-squared for each character, of
+#: the share of neighbours in different classes, and of the size of the serial correlation. Simulated; the tests do it again.
+NULL = {
+    "decimal": (1.38, 4.6, 0.345, 0.6, 0.15, 0.6),
+    "hex": (1.2, 5.5, 0.22, 0.45, 0.3, 0.7),
+    "base32": (1.65, 3.3, 0.425, 0.57, 0.15, 0.6),
+    "base64": (2.2, 5.2, 0.43, 0.5, 0.2, 0.6),
+}
+#: Weight of the serial correlation, which tells least, beside the two others; spread of the weighted sum under the null.
+SERIAL_WEIGHT, SUM_SPREAD = 0.3, 1.65
 FDR = 0.01
-#: Two-sided normal limit of the runs and serial tests.
-LIMIT = 3.0
+#: Scores are counted in steps of this size up to the last one; lengths up to the last one.
+STEP, LAST_STEP, LAST_LENGTH = 0.02, 400, 128
 
 
 def spans_of(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
@@ -59,17 +73,8 @@ def spans_of(text: Column, pattern: str, kind: str, group: int = 0, least: int =
     return F.when(F.size(found) > 0, F.aggregate(found, state, step, lambda s: s["out"])).otherwise(F.array().cast(f"array<{span}>"))
 
 
-def normal_cdf(z: Column) -> Column:
-    """The normal distribution function, to seven digits (a published rational approximation of erfc)."""
-    x = F.abs(z) / 2**0.5
-    t = 1 / (1 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    tail = poly * F.exp(-x * x) / 2
-    return F.when(z < 0, tail).otherwise(1 - tail)
-
-
 def _by_encoding(value: Column, pick) -> Column:
-    """pick(name, alphabet, divergence) of the narrowest encoding that the value can be in."""
+    """pick(name, alphabet, classes) of the narrowest encoding that the value can be in."""
     (name, pattern, *rest), *others = ENCODINGS
     return reduce(lambda w, e: w.when(value.rlike(e[1]), pick(e[0], *e[2:])), others, F.when(value.rlike(pattern), pick(name, *rest)))
 
@@ -79,66 +84,72 @@ def _canonical(value: Column) -> Column:
     return _by_encoding(value, lambda name, *_: {"hex": F.lower(value), "base64": F.translate(value, "-_", "+/")}.get(name, value))
 
 
-def _battery(value: Column) -> Column:
-    """struct<p, runs_z, serial_z> of a candidate."""
+def score(value: Column) -> Column:
+    """The normal score of the combined evidence that a candidate is random: large where few ordinary strings look so."""
     s = _canonical(value)
-    k = _by_encoding(value, lambda name, alphabet, ordinary: F.lit(float(len(alphabet))))
-    alphabet = _by_encoding(value, lambda name, alphabet, ordinary: F.lit(alphabet))
-    ordinary = _by_encoding(value, lambda name, alphabet, ordinary: F.lit(ordinary))
-    halves = _by_encoding(value, lambda name, alphabet, ordinary: F.translate(s, alphabet, "0" * (len(alphabet) // 2) + "1" * (len(alphabet) // 2)))
-    n = F.length(value).cast("double")
+    alphabet = _by_encoding(value, lambda name, alphabet, classes: F.lit(alphabet))
+    classes = _by_encoding(value, lambda name, alphabet, classes: F.translate(s, alphabet, classes))
+    n, k = F.length(value).cast("double"), F.length(alphabet).cast("double")
     chars = F.split(s, "")
     squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(s, c, F.lit(""))), F.lit(2.0)))
-    chi2 = squares * k / n - n
-    away = n * ordinary
-    z = (chi2 - (k - 1) - away) / F.sqrt(2 * (k - 1 + 2 * away))
-    ones = n - F.length(F.replace(halves, F.lit("1"), F.lit("")))
-    runs = F.length(F.regexp_replace(F.regexp_replace(halves, "0+", "0"), "1+", "1")).cast("double")
-    mean = 2 * ones * (n - ones) / n + 1
-    spread = F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9))
+    excess = (squares * k / n - n - (k - 1)) / n
+    changes = (F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) - 1) / (n - 1)
     values = F.transform(chars, lambda c: F.position(c, alphabet).cast("double"))
     zero = F.struct(*(F.lit(0.0).alias(x) for x in ("x", "xx", "xy", "before")))
     add = lambda a, v: F.struct((a["x"] + v).alias("x"), (a["xx"] + v * v).alias("xx"), (a["xy"] + v * a["before"]).alias("xy"), v.alias("before"))
     # One symbol over and over has no variance; it counts as fully correlated.
-    serial = F.aggregate(values, zero, add, lambda a: F.when(a["xx"] * n - a["x"] * a["x"] > 1e-9, (a["xy"] * n - a["x"] * a["x"]) / (a["xx"] * n - a["x"] * a["x"]) * F.sqrt(n)).otherwise(F.sqrt(n)))
-    return F.struct(normal_cdf(z).alias("p"), ((runs - mean) / F.sqrt(spread)).alias("runs_z"), serial.alias("serial_z"))
+    serial = F.aggregate(values, zero, add, lambda a: F.when(a["xx"] * n - a["x"] * a["x"] > 1e-9, F.abs((a["xy"] * n - a["x"] * a["x"]) / (a["xx"] * n - a["x"] * a["x"]))).otherwise(F.lit(1.0)))
 
+    def combined(name: str, *_) -> Column:
+        m1, s1, m2, s2, m3, s3 = NULL[name]
+        return ((m1 - excess) / s1 + (changes - m2) / s2 + SERIAL_WEIGHT * (m3 - serial) / s3) * F.sqrt(n) / SUM_SPREAD
 
-def random_spans(text: Column, fdr: float = FDR) -> Column:
-    """The candidates that the battery finds, as spans of kind "random"."""
-    spans = spans_of(text, CANDIDATE, "random")
+    return _by_encoding(value, combined)
 
-    def choose(found: Column) -> Column:
-        m = F.size(found).cast("double")
-        mean = F.aggregate(found, F.lit(0.0), lambda a, x: a + F.length(x["value"])) / m
-        tested = F.transform(found, lambda x: F.struct(x.alias("span"), _battery(x["value"]).alias("t")))
-        # Weighted p-values, smallest first; strings that fail the runs or the serial test count among the m, but are never found.
-        weighted = F.array_sort(F.transform(tested, lambda x: F.struct((x["t"]["p"] * mean / F.length(x["span"]["value"])).alias("q"), x["span"].alias("span"), ((F.abs(x["t"]["runs_z"]) < LIMIT) & (F.abs(x["t"]["serial_z"]) < LIMIT)).alias("even"))))
 
-        def cut(ranked: Column) -> Column:
-            steps = F.transform(ranked, lambda x, k: F.when(x["q"] <= fdr * (k + 1) / m, x["q"]).otherwise(F.lit(-1.0)))
-            most = F.array_max(steps)
-            return F.transform(F.filter(ranked, lambda x: (x["q"] <= most) & x["even"]), lambda x: x["span"])
+def _tested(text: Column, base: Column) -> Column:
+    """The candidates that overlap no base span: spans of kind "random" with their length (up to LAST_LENGTH) and the step of
+    their score."""
+    clear = F.filter(spans_of(text, CANDIDATE, "random"), lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    step = lambda v: F.greatest(F.lit(0), F.least(F.lit(LAST_STEP), F.floor(score(v) / STEP))).cast("int")
+    return F.transform(clear, lambda x: F.struct(x.alias("span"), F.least(F.length(x["value"]), F.lit(LAST_LENGTH)).alias("length"), step(x["value"]).alias("step")))
 
-        return F.get(F.transform(F.array(weighted), cut), F.lit(0))
 
-    return F.get(F.transform(F.array(spans), lambda found: F.when(F.size(found) > 0, choose(found)).otherwise(found)), F.lit(0))
+def cuts(counts: list[tuple[int, int, int]], fdr: float) -> list[int]:
+    """From (length, step of the score, candidates): the least step that is found, for each length up to LAST_LENGTH. A
+    candidate's p-value is divided by the square of its length over the mean of these squares, as long keys can be told
+    and short ones hardly; of those values the Benjamini-Hochberg procedure finds the largest that holds."""
+    m = sum(n for _, _, n in counts)
+    never = LAST_STEP + 1
+    if not m:
+        return [never] * (LAST_LENGTH + 1)
+    mean = sum(length**2 * n for length, _, n in counts) / m
+    tail = [NormalDist().cdf(-k * STEP) for k in range(LAST_STEP + 1)]
+    most, found = 0.0, 0
+    for q, n in sorted((tail[step] * mean / length**2, n) for length, step, n in counts):
+        found += n
+        if q <= fdr * found / m:
+            most = q
+    return [next((k for k in range(LAST_STEP + 1) if tail[k] * mean <= most * length**2 * (1 + 1e-12)), never) if length else never for length in range(LAST_LENGTH + 1)]
 
 
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
     """One row for each row of df: (id_col, base, random): arrays of struct<start, end, kind, value>.
 
     Offsets count code points, the end is exclusive. A null text counts as empty and has no spans; null and
-    repeated ids stay as they are; other columns are not looked at. base has the fixed kinds ordered by start,
-    then kind; random has the found candidates that overlap no base span. Every text is scanned whole, in the
-    task that reads it.
+    repeated ids stay as they are; other columns are not looked at; an empty table gives no rows. base has the fixed kinds
+    ordered by start, then kind; random has the candidates that are found among all those of the table that overlap no base
+    span, so it depends on the table. Every text is scanned whole and once, in the task that reads it; the spans are
+    written as a table, whose scores are counted (at most LAST_LENGTH x LAST_STEP counts come to the driver).
     """
-    text = F.col("sc_text")
+    text, base = F.col("sc_text"), F.col("sc_base")
     rows = df.select(F.col(id_col), text_or_empty(text_col).alias("sc_text"))
-    rows = rows.select(F.col(id_col), *(spans_of(text, p, k, g, n).alias(f"sc_{k}") for k, p, g, n in KINDS), random_spans(text, fdr).alias("sc_random"))
-    clear = F.filter("sc_random", lambda x: ~F.exists("sc_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    ordered = _ordered(F.concat(*(F.col(f"sc_{k}") for k, *_ in KINDS)))
-    return rows.withColumn("sc_base", ordered).select(F.col(id_col), F.col("sc_base").alias("base"), clear.alias("random"))
+    rows = rows.withColumn("sc_base", _ordered(F.concat(*(spans_of(text, p, k, g, n) for k, p, g, n in KINDS))))
+    scanned = materialize(rows.select(F.col(id_col).alias("sc_id"), "sc_base", _tested(text, base).alias("sc_tested")), "secret-spans")
+    counts = scanned.select(F.explode("sc_tested").alias("x")).groupBy("x.length", "x.step").agg(F.count("*").alias("n")).collect()
+    least = F.array(*map(F.lit, cuts([tuple(x) for x in counts], fdr)))
+    found = F.filter("sc_tested", lambda x: x["step"] >= F.get(least, x["length"]))
+    return scanned.select(F.col("sc_id").alias(id_col), base.alias("base"), F.transform(found, lambda x: x["span"]).alias("random"))
 
 
 def _ordered(spans: Column) -> Column:

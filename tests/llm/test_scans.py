@@ -51,6 +51,80 @@ def test_randomness_battery(spark):
     assert all(texts[i][s.start : s.end] == s.value for i, f in found.items() for s in f)
 
 
+def brute_score(value):
+    """The combined score in plain Python."""
+    name, alphabet, classes = next((n, a, c) for n, p, a, c in secrets.ENCODINGS if re.match(p, value))
+    v = value.lower() if name == "hex" else value.replace("-", "+").replace("_", "/") if name == "base64" else value
+    at, n, k = [alphabet.index(c) for c in v], len(v), len(alphabet)
+    chi2 = sum((c - n / k) ** 2 / (n / k) for c in Counter(at).values()) + (k - len(set(at))) * n / k
+    changes = sum(classes[a] != classes[b] for a, b in zip(at, at[1:])) / (n - 1)
+    mean = sum(at) / n
+    spread = sum((a - mean) ** 2 for a in at)
+    # Neighbours around the mean, with the first and the last symbol on their own.
+    serial = abs((sum((a + 1) * (b + 1) for a, b in zip(at, at[1:])) - n * (mean + 1) ** 2) / spread) if spread else 1.0
+    m1, s1, m2, s2, m3, s3 = secrets.NULL[name]
+    return ((m1 - (chi2 - k + 1) / n) / s1 + (changes - m2) / s2 + 0.3 * (m3 - serial) / s3) * n**0.5 / 1.65
+
+
+def ordinary(r, words, name):
+    """An endless ordinary string of an encoding, cut anywhere."""
+    number = lambda: r.choice([f"{r.randrange(1990, 2030)}{r.randrange(1, 13):02d}{r.randrange(1, 29):02d}", f"{r.randrange(10 ** r.randrange(1, 5)):0{r.choice([4, 6, 8])}d}"])
+    part = {
+        "decimal": number,
+        "hex": lambda: r.choice([lambda: r.choice("dead beef cafe face fade babe feed bead deaf deed".split()), lambda: number()[-4:]])(),
+        "base32": lambda: r.choice(words).upper(),
+        "base64": lambda: r.choice(words).capitalize() + (str(r.randrange(100)) if r.random() < 0.2 else ""),
+    }[name]
+    return "".join(part() for _ in range(60))[r.randrange(6) :]
+
+
+@pytest.fixture(scope="module")
+def prose(spark):
+    texts = [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang = 'en' and text is not null").collect()]
+    return [w.lower() for t in texts for w in re.findall(r"[A-Za-z]{2,}", t) if w.isascii()]
+
+
+def test_scores(spark, prose):
+    r = random.Random(21)
+    key = lambda a: "".join(r.choices(a, k=r.randrange(20, 90)))
+    values = [key(a) for _, _, a, _ in secrets.ENCODINGS for _ in range(30)] + [ordinary(r, prose, n)[: r.randrange(20, 60)] for n in secrets.NULL for _ in range(30)] + ["A" * 30, "ab_-" * 9]
+    got = {x.v: x.s for x in spark.createDataFrame([(v,) for v in values], "v string").select("v", secrets.score(F.col("v")).alias("s")).collect()}
+    assert all(abs(got[v] - brute_score(v)) < 1e-6 for v in values)
+
+
+@pytest.mark.parametrize("keys", [0, 300])
+def test_false_discoveries(spark, prose, keys):
+    r = random.Random(keys + 1)
+    b64 = string.ascii_letters + string.digits + "+/"
+    rows, real = [], set()
+    for name in secrets.NULL:
+        for n in (20, 24, 32, 40, 64):
+            for _ in range(250):
+                rows.append((len(rows), f"see {ordinary(r, prose, name)[:n]} there"))
+    for _ in range(keys):
+        real.add(len(rows))
+        rows.append((len(rows), f"see {''.join(r.choices(b64, k=r.randrange(40, 80)))} there"))
+    found = [x.doc_id for x in secrets.find_secrets(docs(spark, rows)).where("size(random) > 0").collect()]
+    wrong = [i for i in found if i not in real]
+    if keys:
+        assert len(set(found) & real) >= 0.75 * keys and len(wrong) <= 0.02 * len(found) + 2
+    else:
+        assert len(found) <= 2
+
+
+def test_cuts_follow_the_procedure():
+    r = random.Random(3)
+    counts = [(n, k, r.randrange(1, 5)) for n in (20, 40, 90) for k in (0, 30, 90, 150, 180, 240)]
+    least = secrets.cuts(counts, 0.05)
+    from statistics import NormalDist
+
+    mean = sum(n**2 * c for n, _, c in counts) / sum(c for *_, c in counts)
+    values = sorted((NormalDist().cdf(-k * secrets.STEP) * mean / n**2, n, k) for n, k, c in counts for _ in range(c))
+    most = max((q for i, (q, *_) in enumerate(values) if q <= 0.05 * (i + 1) / len(values)), default=-1)
+    assert {(n, k) for q, n, k in values if q <= most} == {(n, k) for n, k, _ in counts if k >= least[n]} and most > 0
+    assert secrets.cuts([], 0.05)[20] > secrets.LAST_STEP
+
+
 def test_native_plans(spark, odd):
     for df in (secrets.find_secrets(odd), quality.quality_ledger(odd)):
         plan = df._jdf.queryExecution().toString()
