@@ -23,6 +23,8 @@ from lacework.llm.common import SPACE, materialize, packed, text_or_empty
 #: Hash ranges of a leaf; the order key has 60 bits.
 RANGES = 4096
 _ORDER_BITS = 60
+#: Leaves whose plan is broadcast, some 20 MB at most; a larger plan meets the rows in a join that is salted by SALTS.
+MOST_BROADCAST, SALTS = 100_000, 64
 
 
 @dataclass(frozen=True)
@@ -78,6 +80,14 @@ def leaf_budgets(leaves: DataFrame, budget: float, mixture: Mixture) -> DataFram
     return leaves.join(parent, path)
 
 
+def _planned(rows: DataFrame, plan: DataFrame, path: list[str], leaves: int) -> DataFrame:
+    """rows (with mx_id) with the plan of their leaf. A leaf may have a third of all rows, so its rows don't meet in one task."""
+    if leaves <= MOST_BROADCAST:
+        return rows.join(F.broadcast(plan), path)
+    salted = plan.withColumn("mx_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("mx_salt", F.pmod(F.xxhash64("mx_id"), F.lit(SALTS)).cast("int")).join(salted, [*path, "mx_salt"]).drop("mx_salt")
+
+
 def mix(df: DataFrame, mixture: Mixture = Mixture(), levels: tuple[str | Column, ...] = ("lang", "source"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
     """The rows of df that are selected, all columns, with mx_epochs (long): how many epochs have the row.
 
@@ -92,20 +102,21 @@ def mix(df: DataFrame, mixture: Mixture = Mixture(), levels: tuple[str | Column,
     counts = materialize(placed.select("mx_id", *path, token_count("mx_text").alias("mx_tokens")), "token-counts")
     leaves = counts.groupBy(*path).agg(F.sum("mx_tokens").alias("tokens"))
     leaves = materialize(leaves, "leaves")
+    n_leaves = leaves.count()
     budget = mixture.budget_tokens if mixture.budget_tokens is not None else (leaves.agg(F.sum("tokens")).first()[0] or 0) * mixture.budget_share
     plan = leaf_budgets(leaves, budget, mixture)
     plan = plan.withColumn("mx_full", F.when(F.col("tokens") > 0, F.least(F.floor(F.col("mx_budget") / F.col("tokens")), F.lit(mixture.max_epochs))).otherwise(0).cast("long"))
     plan = materialize(plan.select(*path, "mx_full", F.round(F.col("mx_budget") - F.col("mx_full") * F.col("tokens"), 6).alias("mx_rest")), "leaf-plan")
 
     key = order_key(mixture.seed, F.col("mx_full"), "mx_id")
-    ranged = counts.join(plan, path).withColumn("mx_range", F.shiftright(key, _ORDER_BITS - RANGES.bit_length() + 1))
+    ranged = _planned(counts, plan, path, n_leaves).withColumn("mx_range", F.shiftright(key, _ORDER_BITS - RANGES.bit_length() + 1))
     sums = ranged.groupBy(*path, "mx_rest", "mx_range").agg(F.sum("mx_tokens").alias("t"))
     base = F.coalesce(F.sum("t").over(Window.partitionBy(*path).orderBy("mx_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # The range in which the budget is met: the last one that starts before it.
     cut = sums.withColumn("mx_base", base).where(F.col("mx_base") < F.col("mx_rest")).groupBy(*path).agg(F.max(F.struct("mx_range", "mx_base")).alias("c"))
     plan = materialize(plan.join(cut, path, "left").select(*path, "mx_full", "mx_rest", F.coalesce("c.mx_range", F.lit(-1)).alias("mx_cut"), F.col("c.mx_base").alias("mx_base")), "leaf-cuts")
 
-    rows = placed.join(plan, path).withColumn("mx_key", order_key(mixture.seed, F.col("mx_full"), "mx_id"))
+    rows = _planned(placed, plan, path, n_leaves).withColumn("mx_key", order_key(mixture.seed, F.col("mx_full"), "mx_id"))
     rows = rows.withColumn("mx_range", F.shiftright(F.col("mx_key"), _ORDER_BITS - RANGES.bit_length() + 1))
     clear = rows.where("mx_range <> mx_cut").withColumn("mx_epochs", F.col("mx_full") + (F.col("mx_range") < F.col("mx_cut")).cast("long"))
     inside = Window.partitionBy(*path).orderBy("mx_key", "mx_tokens").rowsBetween(Window.unboundedPreceding, -1)

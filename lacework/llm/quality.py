@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lacework.llm.common import SPACE, text_or_empty
 
+MEASUREMENTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper", "n_exclaim")
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 
@@ -91,7 +92,10 @@ def _repeat_words(words: Column, n: Column) -> Column:
 def measure(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` and the measurements of every text, each made once: n_words, word_chars, n_symbols, n_lines (with
     a word), n_dup_lines, n_repeat_words, n_letters, n_upper, n_exclaim. All built-in functions; no shuffle.
-    A null text has no words. Rows, nulls and repeats stay as they are; other columns are not looked at."""
+    A null text has no words. Rows, nulls and repeats stay as they are; other columns are not looked at. Columns of `keep`
+    may not be called like a measurement, or failed_bits."""
+    if clash := set(keep) & {*MEASUREMENTS, "failed_bits"}:
+        raise ValueError(f"these columns would stand twice in the ledger: {sorted(clash)}")
     text = F.col("ql_text")
     rows = df.select(*keep, text_or_empty(text_col).alias("ql_text"))
     bare = F.btrim(text, F.lit(BLANKS))
@@ -131,10 +135,17 @@ def kept_under(policy: Policy, failed: str = "failed_bits") -> Column:
 
 
 def apply_policies(rows: DataFrame, policies: tuple[Policy, ...]) -> DataFrame:
-    """A ledger with a column kept_<name>_v<version> for each policy."""
+    """A ledger with a column kept_<name>_v<version> for each policy. Bits are never null, so verdicts aren't either; a column
+    of such a name is replaced. An empty ledger stays empty."""
     return rows.withColumns({f"kept_{p.name}_v{p.version}": kept_under(p) for p in policies})
 
 
+def sole_failure(policy: Policy, failed: str = "failed_bits") -> Column:
+    """The bit of the one strict rule without which the policy would keep the document; 0 if it fails none or several."""
+    own = F.col(failed).bitwiseAND(F.lit(bits(policy.strict)).cast("long"))
+    return F.when(F.bit_count(own) == 1, own).otherwise(F.lit(0).cast("long"))
+
+
 def ablations(rows: DataFrame, policy: Policy) -> DataFrame:
     """A row for each strict rule of the policy: (rule, n_failed, n_only_this): how many documents fail it, and
     how many more would be kept without it. One pass over the bits, summed before any shuffle."""

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacework.llm import bpe, classifier, exactdup, licenses, mixing, neardup, quality, secrets, suffixdup, tokenfile
-from lacework.llm.common import table
+from lacework.llm.common import materialize, table
 
 
 def byte_bpe() -> str:
@@ -27,12 +27,21 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-#: Half of all tokens, languages by weight, sources alike.
-MIXTURE = mixing.Mixture(weights={("en",): 5.0, ("de",): 2.0, ("fr",): 2.0, ("es",): 1.0}, budget_share=0.5, max_epochs=4)
+#: Weights of domains, and of languages in each of them; sources alike.
+DOMAINS = {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0}
+LANGUAGES = {"en": 5.0, "de": 2.0, "fr": 2.0, "es": 1.0}
+WEIGHTS = {(d,): w for d, w in DOMAINS.items()} | {(d, x): w for d in DOMAINS for x, w in LANGUAGES.items()}
+#: Half of all tokens.
+MIXTURE = mixing.Mixture(weights=WEIGHTS, budget_share=0.5, max_epochs=4)
+
+
+def domain() -> Column:
+    """The documents have no domain; five sources in the order of their numbers are one here, others have none ("")."""
+    return F.coalesce(F.concat(F.lit("d"), F.floor(F.regexp_extract("source", r"(\d+)$", 1).try_cast("int") / 5).cast("string")), F.lit(""))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.mix(table(spark, sf_dir, "documents"), MIXTURE)
+    rows = mixing.mix(table(spark, sf_dir, "documents"), MIXTURE, levels=(domain(), "lang", "source"))
     return rows.select("doc_id", "lang", "source", F.col("mx_epochs").alias("epochs"))
 
 
@@ -47,9 +56,22 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.span_text(F.col("base")), 256).alias("base_sha256"), secrets.span_text(F.concat("base", "random")).alias("spans"))
 
 
+POLICIES = (quality.BASE, quality.STANDARD, quality.LENIENT)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.quality_ledger(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
+    rows = quality.apply_policies(rows, POLICIES)
+    more = ["n_lines", "n_letters", "n_upper", "n_exclaim", *(f"kept_{p.name}_v{p.version}" for p in POLICIES)]
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits", *more, quality.sole_failure(quality.STANDARD).alias("sole_failure"))
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ablations of the policies over the ledger of op6."""
+    rows = quality.ledger(table(spark, sf_dir, "documents"))
+    rows = materialize(rows.select("failed_bits"), "ledger-bits")
+    out = [quality.ablations(rows, p).select(F.lit(f"{p.name}_v{p.version}").alias("policy"), "rule", "n_failed", "n_only_this") for p in POLICIES]
+    return out[0].union(out[1]).union(out[2])
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,30 +103,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_files": op10_token_files,
+    "quality_ablations": quality_ablations,
 }
 
-#: DuckDB SQL for what SQL can express.
-ORACLE_SQL: dict[str, str] = {
-    # The same water-filling, level by level; with these weights every language and source has a weight above 0.
-    "op2_mixing": r"""
-        WITH c AS (SELECT doc_id, coalesce(lang, '') AS l, coalesce(source, '') AS s, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents),
-        leaf AS (SELECT l, s, sum(n)::BIGINT AS t FROM c GROUP BY l, s),
-        a0 AS (SELECT l, 4.0::DOUBLE * sum(t)::DOUBLE AS cap, CASE l WHEN 'en' THEN 5.0 WHEN 'de' THEN 2.0 WHEN 'fr' THEN 2.0 ELSE 1.0 END::DOUBLE AS w, (SELECT sum(t) FROM leaf)::DOUBLE * 0.5 AS given FROM leaf GROUP BY l),
-        a1 AS (SELECT *, (given - coalesce(sum(cap) OVER (ORDER BY cap / w, l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, l ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM a0),
-        a2 AS (SELECT l, coalesce(least(cap, w * max(CASE WHEN share * w < cap THEN share END) OVER ()), cap) AS given FROM a1),
-        b0 AS (SELECT l, s, t, 4.0::DOUBLE * t AS cap, given FROM leaf JOIN a2 USING (l)),
-        b1 AS (SELECT *, (given - coalesce(sum(cap) OVER (PARTITION BY l ORDER BY cap, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / count(*) OVER (PARTITION BY l ORDER BY cap, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM b0),
-        b2 AS (SELECT l, s, t, coalesce(least(cap, max(CASE WHEN share < cap THEN share END) OVER (PARTITION BY l)), cap) AS b FROM b1),
-        plan AS (SELECT l, s, f, round(b - f * t, 6) AS rest FROM (SELECT *, CASE WHEN t > 0 THEN least(floor(b / t), 4) ELSE 0 END::BIGINT AS f FROM b2)),
-        o AS (SELECT c.*, f, rest, coalesce(sum(n) OVER (PARTITION BY l, s ORDER BY ('0x' || substr(md5('11|' || f::VARCHAR || '|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c JOIN plan USING (l, s))
-        SELECT o.doc_id, lang, source, f + (before < rest)::BIGINT AS epochs FROM o JOIN documents d ON d.doc_id IS NOT DISTINCT FROM o.doc_id WHERE f + (before < rest)::BIGINT > 0
-    """,
-    "op5_exact_dedup": r"""
-        WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
-        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
-        FROM t WINDOW w AS (PARTITION BY norm)
-    """,
-    "op6_quality_rules": r"""
+#: The measurements and bits of every document, f, in DuckDB SQL.
+_LEDGER = r"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
         p AS (SELECT doc_id, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM t),
         q AS (SELECT doc_id, i, a, lead(a) OVER w AS b, lead(a, 2) OVER w AS c FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
@@ -114,7 +117,41 @@ ORACLE_SQL: dict[str, str] = {
             length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS n_letters, length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_exclaim FROM t LEFT JOIN rep USING (doc_id)),
         f AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (5 * n_symbols > n_words)::BIGINT + 8 * (2 * n_upper > n_letters AND n_letters > 0)::BIGINT + 16 * (3 * n_dup_lines > n_lines AND n_dup_lines >= 3)::BIGINT
             + 32 * (word_chars < 2 * n_words OR word_chars > 25 * n_words)::BIGINT + 64 * (2 * n_letters < word_chars)::BIGINT + 128 * (3 * n_exclaim > n_words)::BIGINT AS failed_bits FROM m)
-        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM f
+    """
+
+#: DuckDB SQL for what SQL can express.
+ORACLE_SQL: dict[str, str] = {
+    # The same water-filling, level by level; with these weights every domain, language and source has a weight above 0.
+    "op2_mixing": r"""
+        WITH c AS (SELECT doc_id, coalesce('d' || (try_cast(regexp_extract(source, '(\d+)$', 1) AS INTEGER) // 5)::VARCHAR, '') AS d, coalesce(lang, '') AS l, coalesce(source, '') AS s, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents),
+        leaf AS (SELECT d, l, s, sum(n)::BIGINT AS t FROM c GROUP BY d, l, s),
+        z0 AS (SELECT d, 4.0::DOUBLE * sum(t)::DOUBLE AS cap, CASE d WHEN 'd0' THEN 4.0 WHEN 'd1' THEN 3.0 WHEN 'd2' THEN 2.0 ELSE 1.0 END::DOUBLE AS w, (SELECT sum(t) FROM leaf)::DOUBLE * 0.5 AS given FROM leaf GROUP BY d),
+        z1 AS (SELECT *, (given - coalesce(sum(cap) OVER (ORDER BY cap / w, d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM z0),
+        z2 AS (SELECT d, coalesce(least(cap, w * max(CASE WHEN share * w < cap THEN share END) OVER ()), cap) AS given FROM z1),
+        a0 AS (SELECT d, l, 4.0::DOUBLE * sum(t)::DOUBLE AS cap, CASE WHEN d NOT IN ('d0', 'd1', 'd2', 'd3') THEN 1.0 WHEN l = 'en' THEN 5.0 WHEN l IN ('de', 'fr') THEN 2.0 ELSE 1.0 END::DOUBLE AS w, any_value(given) AS given FROM leaf JOIN z2 USING (d) GROUP BY d, l),
+        a1 AS (SELECT *, (given - coalesce(sum(cap) OVER (PARTITION BY d ORDER BY cap / w, l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (PARTITION BY d ORDER BY cap / w, l ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM a0),
+        a2 AS (SELECT d, l, coalesce(least(cap, w * max(CASE WHEN share * w < cap THEN share END) OVER (PARTITION BY d)), cap) AS given FROM a1),
+        b0 AS (SELECT d, l, s, t, 4.0::DOUBLE * t AS cap, given FROM leaf JOIN a2 USING (d, l)),
+        b1 AS (SELECT *, (given - coalesce(sum(cap) OVER (PARTITION BY d, l ORDER BY cap, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / count(*) OVER (PARTITION BY d, l ORDER BY cap, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM b0),
+        b2 AS (SELECT d, l, s, t, coalesce(least(cap, max(CASE WHEN share < cap THEN share END) OVER (PARTITION BY d, l)), cap) AS b FROM b1),
+        plan AS (SELECT d, l, s, f, round(b - f * t, 6) AS rest FROM (SELECT *, CASE WHEN t > 0 THEN least(floor(b / t), 4) ELSE 0 END::BIGINT AS f FROM b2)),
+        o AS (SELECT c.*, f, rest, coalesce(sum(n) OVER (PARTITION BY d, l, s ORDER BY ('0x' || substr(md5('11|' || f::VARCHAR || '|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c JOIN plan USING (d, l, s))
+        SELECT o.doc_id, lang, source, f + (before < rest)::BIGINT AS epochs FROM o JOIN documents x ON x.doc_id IS NOT DISTINCT FROM o.doc_id WHERE f + (before < rest)::BIGINT > 0
+    """,
+    "op5_exact_dedup": r"""
+        WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+        FROM t WINDOW w AS (PARTITION BY norm)
+    """,
+    "op6_quality_rules": _LEDGER
+    + r"""
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits, n_lines, n_letters, n_upper, n_exclaim,
+            failed_bits & 3 = 0 AS kept_base_v1, failed_bits = 0 AS kept_standard_v1, failed_bits & 3 = 0 AND bit_count(failed_bits & 252) <= 1 AS kept_lenient_v1, CASE WHEN bit_count(failed_bits) = 1 THEN failed_bits ELSE 0 END AS sole_failure FROM f
+    """,
+    "quality_ablations": _LEDGER
+    + r""", rules AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('shouting', 8), ('duplicate_lines', 16), ('word_length', 32), ('few_letters', 64), ('exclamations', 128)) t(rule, b)),
+        policies AS (SELECT * FROM (VALUES ('base_v1', 3), ('standard_v1', 255), ('lenient_v1', 3)) t(policy, mask))
+        SELECT policy, rule, count(*) FILTER (failed_bits & b <> 0) AS n_failed, count(*) FILTER (failed_bits & mask = b) AS n_only_this FROM policies JOIN rules ON mask & b <> 0 CROSS JOIN f GROUP BY policy, rule
     """,
     # All pairs that share a shingle, so only for small tables.
     "op8_near_dedup": r"""

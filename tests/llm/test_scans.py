@@ -162,6 +162,10 @@ def test_policies_and_ablations(spark):
     assert {x.doc_id for x in led.where(quality.kept_under(quality.LENIENT)).collect()} == {1, 2, 4}
     rows = {x.rule: (x.n_failed, x.n_only_this) for x in quality.ablations(led, quality.STANDARD).collect()}
     assert rows["few_words"] == (1, 1) and rows["shouting"] == (1, 1) and rows["symbols"] == (1, 1) and rows["word_length"] == (0, 0)
+    with pytest.raises(ValueError, match="n_words"):
+        quality.ledger(docs(spark, [(1, good)]).withColumn("n_words", F.lit(1)), keep=("n_words",))
+    sole = {x.doc_id: x.s for x in led.select("doc_id", quality.sole_failure(quality.STANDARD).alias("s")).collect()}
+    assert sole == {1: 0, 2: quality.bits(("shouting",)), 3: quality.bits(("few_words",)), 4: quality.bits(("symbols",))}
     named = quality.apply_policies(led, (quality.BASE, quality.STANDARD))
     assert {"kept_base_v1", "kept_standard_v1"} <= set(named.columns)
 
@@ -272,7 +276,7 @@ def test_budgets(spark, share):
     assert all(abs(got[k] - want[k]) < 1e-6 * budget for k in want)
 
 
-def test_mixing_takes_prefixes(spark, odd, empty):
+def test_mixing_takes_prefixes(spark, odd, empty, monkeypatch):
     r = random.Random(12)
     rows = [(i, "w " * r.randrange(1, 30), r.choice(["en", "de"]), "hot" if r.random() < 0.5 else f"s{i % 3}") for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
@@ -296,6 +300,8 @@ def test_mixing_takes_prefixes(spark, odd, empty):
                     want[i] = full + (at < rest - 1e-6)
                 at += n
     assert got == want
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
+    assert {x.doc_id: x.mx_epochs for x in mixing.mix(df, m).collect()} == want
     assert mixing.mix(empty, m).count() == 0
     every = mixing.mix(odd, mixing.Mixture(budget_share=1.0, max_epochs=1))
     assert every.columns == [*odd.columns, "mx_epochs"] and every.count() == len(ODD_TEXTS)
