@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from lacework.llm import bpe, classifier, exactdup, mixing, neardup
 from lacework.llm.common import drop_table, materialize, table
-from lacework.llm.queries import byte_bpe
+from lacework.llm.queries import WEIGHTS, byte_bpe, domain
 
-#: Nine tenths of the tokens that are left, languages by weight, sources alike, no document twice.
-MIXTURE = mixing.Mixture(weights={("en",): 5.0, ("de",): 2.0, ("fr",): 2.0, ("es",): 1.0}, budget_share=0.9, max_epochs=1)
+#: Nine tenths of the tokens that are left, domains and languages by weight, sources alike, no document twice.
+MIXTURE = mixing.Mixture(weights=WEIGHTS, budget_share=0.9, max_epochs=1)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A null language or source is a value of its own; a null text has no tokens and stays with its leaf. Rows that repeat an
     id share their place. An empty table stays empty."""
-    return mixing.mix(docs, MIXTURE).drop("mx_epochs")
+    return mixing.mix(docs, MIXTURE, levels=(domain(), "lang", "source")).drop("mx_epochs")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
