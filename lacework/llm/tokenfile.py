@@ -2,31 +2,39 @@
 
 An id is cut into chunks of eight bits, the lowest first. Level 0 has the first chunk of every id, level
 k the k-th chunk of the ids that need one; a bitmap for each level tells which chunks continue, and a rank
-directory over the bitmap tells where the next chunk stands. So any id is read with one step a level, and
-nothing else is decoded. Frequent ids are small in BPE vocabularies and take one or two bytes.
-
-A segment (little-endian):
-
-    8 bytes    magic "LWDAC01\\n"
-    u32 x 4    number of documents, of levels, crc32 of all that follows this header, 0
-    u64        number of ids
-    u8[d]      1 for a document without id, filled to 8 bytes
-    i64[d]     document ids (0 where there is none)
-    u64[d+1]   where each document's ids start, counted from the segment's first id
-    per level  u64 number of chunks n; u8[n] chunks, filled to 8 bytes; u64[(n+63)/64] bitmap;
-               u32[(n+511)/512 + 1] ranks at every 512th bit, filled to 8 bytes
+directory over the bitmap tells where the next chunk stands. Frequent ids are small in BPE vocabularies and take one or
+two bytes.
+
+A level lies in blocks of 512 chunks, each with its rank, its part of the bitmap and its chunks side by side, all blocks
+of one size. So any token is read from the file with the head and one block a level, whatever the size of the file, and
+nothing else is read or decoded.
+
+A segment is a file (little-endian):
+
+    head       8 bytes magic "LWDAC02\n"; u32 number of documents, u32 of levels; u64 number of ids; u64 where the documents start;
+               4 x (u64 number of chunks, u64 where the level starts); u32 crc32 of all that follows the head, u32 of the head so far
+    per level  blocks: u32 continuing chunks before this block; 64 bytes bitmap; 512 bytes chunks
+    documents  u8[d] 1 for a document without id, filled to 8 bytes; i64[d] document ids (0 where there is none);
+               u64[d+1] where each document's ids start, counted from the segment's first id
+
+Files have names of their own; a manifest, written by Spark, lists those of the tasks that were committed. A file of an
+attempt that failed is in no manifest and is never read.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +42,11 @@ from lacework.llm import worker
 from lacework.llm.bpe import LONGEST_KEPT, slices, split_chunks
 from lacework.llm.common import fresh_path
 
-MAGIC = b"LWDAC01\n"
-HEAD = struct.Struct("<8sIIIIQ")
+MAGIC = b"LWDAC02\n"
+HEAD = struct.Struct("<8sIIQQ8QI")
+HEAD_BYTES = HEAD.size + 4
+BLOCK_CHUNKS = 512
+BLOCK = np.dtype([("rank", "<u4"), ("bits", "u1", BLOCK_CHUNKS // 8), ("chunks", "u1", BLOCK_CHUNKS)])
 #: Ids of a segment, about; a document is never cut.
 SEGMENT_IDS = 2 << 20
 KEPT_CHUNKS = 700_000
@@ -47,64 +58,79 @@ def _filled(data: bytes) -> bytes:
 
 def pack_segment(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     """The segment of these documents, in this order; ids are unsigned 32-bit integers."""
-    flat = np.concatenate([*ids, np.empty(0, np.uint32)]).astype(np.uint32)
+    rest = np.concatenate([*ids, np.empty(0, np.uint32)]).astype(np.uint32)
     starts = np.cumsum([0, *map(len, ids)], dtype=np.uint64)
-    body = [_filled(bytes(x is None for x in doc_ids)), np.array([x or 0 for x in doc_ids], np.int64).tobytes(), starts.tobytes()]
-    levels, rest = 0, flat
-    while levels == 0 or len(rest):
+    n_ids, places, body, at = len(rest), [], [], HEAD_BYTES
+    while not places or len(rest):
         more = rest >> 8 > 0
-        bits = np.packbits(more, bitorder="little").tobytes()
-        counts = np.add.reduceat(more, np.arange(0, len(more), 512), dtype=np.uint32) if len(more) else np.empty(0, np.uint32)
-        body += [struct.pack("<Q", len(rest)), _filled((rest & 255).astype(np.uint8).tobytes()), _filled(bits), _filled(np.concatenate([np.zeros(1, np.uint32), np.cumsum(counts, dtype=np.uint32)]).tobytes())]
+        blocks = np.zeros(-(-len(rest) // BLOCK_CHUNKS), BLOCK)
+        flat = np.zeros(len(blocks) * BLOCK_CHUNKS, np.uint8)
+        flat[: len(rest)] = rest & 255
+        blocks["chunks"] = flat.reshape(-1, BLOCK_CHUNKS)
+        flat[:] = 0
+        flat[: len(rest)] = more
+        bits = np.packbits(flat, bitorder="little").reshape(-1, BLOCK_CHUNKS // 8)
+        blocks["bits"] = bits
+        blocks["rank"][1:] = np.cumsum(flat.reshape(-1, BLOCK_CHUNKS).sum(1, dtype=np.uint32))[:-1]
+        body.append(blocks.tobytes())
+        places.append((len(rest), at))
+        at += len(body[-1])
         rest = rest[more] >> 8
-        levels += 1
-    data = b"".join(body)
-    return HEAD.pack(MAGIC, len(doc_ids), levels, zlib.crc32(data), 0, len(flat)) + data
+    body += [_filled(bytes(x is None for x in doc_ids)), np.array([x or 0 for x in doc_ids], np.int64).tobytes(), starts.tobytes()]
+    crc = 0
+    for part in body:
+        crc = zlib.crc32(part, crc)
+    head = HEAD.pack(MAGIC, len(doc_ids), len(places), n_ids, at, *(x for p in places + [(0, 0)] * (4 - len(places)) for x in p), crc)
+    return b"".join([head, struct.pack("<I", zlib.crc32(head)), *body])
 
 
-class Segment:
-    """A segment opened for reading; nothing is decoded until asked for."""
+class Addressed:
+    """A segment whose tokens are read one by one. read(at, n): n bytes of the file."""
 
-    def __init__(self, data: bytes):
-        magic, d, levels, crc, _, self.n_ids = HEAD.unpack_from(data)
-        if magic != MAGIC or zlib.crc32(memoryview(data)[HEAD.size :]) != crc:
-            raise ValueError("not a whole segment of directly addressable codes")
-        at = HEAD.size
-
-        def take(kind, n: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(data, kind, n, at)
-            at += -(-out.nbytes // 8) * 8
-            return out
-
-        missing = take(np.uint8, d)
-        self.doc_ids = [None if m else x for m, x in zip(missing, take(np.int64, d).tolist(), strict=True)]
-        self.starts = take(np.uint64, d + 1).astype(np.int64)
-        self.levels = []
-        for _ in range(levels):
-            n = int(take(np.uint64, 1)[0])
-            self.levels.append((take(np.uint8, n), take(np.uint8, -(-n // 8)), take(np.uint32, -(-n // 512) + 1)))
+    def __init__(self, read: Callable[[int, int], bytes]):
+        head = read(0, HEAD_BYTES)
+        if len(head) < HEAD_BYTES or head[:8] != MAGIC or struct.unpack_from("<I", head, HEAD.size)[0] != zlib.crc32(head[: HEAD.size]):
+            raise ValueError("not a segment of directly addressable codes")
+        _, self.n_docs, levels, self.n_ids, self.docs_at, *places, self.crc = HEAD.unpack_from(head)
+        self.levels = list(zip(places[::2], places[1::2], strict=True))[:levels]
+        self.read = read
 
     def get(self, i: int) -> int:
-        """The i-th id, with one rank a level."""
+        """The i-th id: one block is read for each of its chunks."""
         if not 0 <= i < self.n_ids:
             raise IndexError(i)
         value = 0
-        for k, (chunks, bits, ranks) in enumerate(self.levels):
-            value |= int(chunks[i]) << (8 * k)
-            if not bits[i >> 3] >> (i & 7) & 1:
+        for k, (_, at) in enumerate(self.levels):
+            block = np.frombuffer(self.read(at + BLOCK.itemsize * (i // BLOCK_CHUNKS), BLOCK.itemsize), BLOCK)[0]
+            j = i % BLOCK_CHUNKS
+            value |= int(block["chunks"][j]) << (8 * k)
+            if not block["bits"][j >> 3] >> (j & 7) & 1:
                 break
-            block = i >> 9
-            before = np.unpackbits(bits[block << 6 : (i >> 3) + 1], bitorder="little")[: i - (block << 9)]
-            i = int(ranks[block]) + int(before.sum())
+            i = int(block["rank"]) + int(np.unpackbits(block["bits"], count=j, bitorder="little").sum())
         return value
 
+
+class Segment(Addressed):
+    """A segment that is read whole, and checked."""
+
+    def __init__(self, data: bytes):
+        super().__init__(lambda at, n: data[at : at + n])
+        if zlib.crc32(memoryview(data)[HEAD_BYTES:]) != self.crc:
+            raise ValueError("not a whole segment of directly addressable codes")
+        self.data = data
+        at = self.docs_at
+        missing = np.frombuffer(data, np.uint8, self.n_docs, at)
+        at += -(-self.n_docs // 8) * 8
+        self.doc_ids = [None if m else x for m, x in zip(missing, np.frombuffer(data, "<i8", self.n_docs, at).tolist(), strict=True)]
+        self.starts = np.frombuffer(data, "<u8", self.n_docs + 1, at + 8 * self.n_docs).astype(np.int64)
+
     def all_ids(self) -> np.ndarray:
         """All ids, level by level from the last."""
         above = np.empty(0, np.uint32)
-        for chunks, bits, _ in reversed(self.levels):
-            out = chunks.astype(np.uint32)
-            more = np.unpackbits(bits, count=len(chunks), bitorder="little").astype(bool)
+        for n, at in reversed(self.levels):
+            blocks = np.frombuffer(self.data, BLOCK, -(-n // BLOCK_CHUNKS), at)
+            out = blocks["chunks"].reshape(-1)[:n].astype(np.uint32)
+            more = np.unpackbits(blocks["bits"].reshape(-1), count=n, bitorder="little").astype(bool)
             out[more] |= above << 8
             above = out
         return above
@@ -227,17 +253,24 @@ def library_encoder(path: str) -> LibraryEncoder:
     return _LOADED[path]
 
 
-_FILES = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("segment", T.IntegerType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("data", T.BinaryType())])
+_FILES = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("segment", T.IntegerType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("file", T.StringType())])
+
+
+def file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The store of a path or URI, and the path there."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
 
 
 def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, segment_ids: int = SEGMENT_IDS) -> None:
-    """Writes the ids of every text of df, each followed by end_id, in ascending id order under `path`.
+    """Writes the ids of every text of df, each followed by end_id, in ascending id order under `path`: segments of about
+    segment_ids ids in path/segments, and the manifest (shard, segment, n_docs, n_ids, file) in path/manifest.
 
     Documents are dealt by ranges of id to `shards` shards and sorted there (null ids first, repeated ids
-    in no stated order); every shard is cut into segments of about segment_ids ids. The table at `path`
-    has a row for each segment (shard, segment, n_docs, n_ids, data); it goes through Spark's writer, so
-    it can stand in any store that Spark writes to, and a task that is run again leaves no halves.
-    A null text counts as empty: its ids are end_id alone. Other columns are not looked at.
+    in no stated order); every shard is cut into segments. Tasks write their files side by side to any store that pyarrow
+    writes to (a shared folder, HDFS, S3). A task that is run again writes new files; the manifest has those of one attempt.
+    A null text counts as empty: its ids are end_id alone. Ids are integers. Other columns are not looked at.
     """
     shards = shards or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -247,9 +280,14 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
         encoder, shard = library_encoder(tokenizer_path), TaskContext.get().partitionId()
         end = np.array([end_id], np.uint32)
         docs, ids, held, number = [], [], 0, 0
+        fs, folder = file_system(f"{path}/segments")
 
         def segment() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([len(docs)], pa.int64()), pa.array([held], pa.int64()), pa.array([pack_segment(docs, ids)], pa.binary())], names=_FILES.names)
+            name = f"{shard:06d}-{number:06d}-{uuid.uuid4().hex}.dac"
+            fs.create_dir(folder, recursive=True)
+            with fs.open_output_stream(f"{folder}/{name}") as out:
+                out.write(pack_segment(docs, ids))
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([len(docs)], pa.int64()), pa.array([held], pa.int64()), pa.array([name], pa.string())], names=_FILES.names)
 
         for batch in batches:
             for part in slices(batch):
@@ -264,48 +302,80 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
             yield segment()
 
     rows = df.select(F.col(id_col).cast("long").alias("tf_id"), F.col(text_col).alias("tf_text"))
-    rows.repartitionByRange(shards, "tf_id").sortWithinPartitions("tf_id").mapInArrow(worker.tasks_of("tokenfile", run), _FILES).write.parquet(path)
+    rows.repartitionByRange(shards, "tf_id").sortWithinPartitions("tf_id").mapInArrow(worker.tasks_of("tokenfile", run), _FILES).write.parquet(f"{path}/manifest")
 
 
-def read_token_files(df: DataFrame, with_ids: bool = True) -> DataFrame:
-    """One row for each document in the segments of df (see write_token_files): (doc_id, start, n_tokens,
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """One row for each document of the files under `path` (see write_token_files): (doc_id, start, n_tokens,
     ids_crc32[, ids array<long>]), start counting the ids of all documents before it.
 
     Where a segment starts follows from the sums of the shards before its own (one number a shard, on the
-    driver: as many as the writer had tasks) and a running sum inside the shard.
+    driver: as many as the writer had tasks) and a running sum inside the shard. Files without documents give no rows.
     """
-    spark = df.sparkSession
-    sums = df.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()
+    manifest = spark.read.schema(_FILES).parquet(f"{path}/manifest")
+    sums = manifest.groupBy("shard").agg(F.sum("n_ids").alias("n"), F.count("*").alias("segments")).orderBy("shard").collect()
     bases, total = [], 0
-    for shard, n in sums:
+    for shard, n, _ in sums:
         bases.append((shard, total))
         total += n
-    from pyspark.sql import Window
-
-    index = df.select("shard", "segment", "n_ids").join(F.broadcast(spark.createDataFrame(bases, "shard int, base long")), "shard")
+    index = manifest.join(F.broadcast(spark.createDataFrame(bases, "shard int, base long")), "shard")
     before = Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    index = index.select("shard", "segment", (F.col("base") + F.coalesce(F.sum("n_ids").over(before), F.lit(0))).alias("first"))
-    fields = [("doc_id", T.LongType()), ("at", T.LongType()), ("n_tokens", T.LongType()), ("ids_crc32", T.LongType())] + [("ids", T.ArrayType(T.LongType()))] * with_ids
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("segment", T.IntegerType()), *(T.StructField(*x) for x in fields)])
+    index = index.select("file", (F.col("base") + F.coalesce(F.sum("n_ids").over(before), F.lit(0))).alias("first"))
+    fields = [("doc_id", T.LongType()), ("start", T.LongType()), ("n_tokens", T.LongType()), ("ids_crc32", T.LongType())] + [("ids", T.ArrayType(T.LongType()))] * with_ids
+    schema = T.StructType([T.StructField(*x) for x in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = file_system(f"{path}/segments")
         for batch in batches:
-            for shard, segment, data in zip(*(batch.column(k) for k in range(3)), strict=True):
+            for file, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with fs.open_input_stream(f"{folder}/{file}") as f:
+                    data = f.read()
                 docs, at, n, crc, ids = [], [], [], [], []
-                for doc, start, x in Segment(data.as_py()).documents():
+                for doc, start, x in Segment(data).documents():
                     docs.append(doc)
-                    at.append(start)
+                    at.append(first + start)
                     n.append(len(x))
-                    crc.append(zlib.crc32(x.astype("<u4").tobytes()))
+                    crc.append(zlib.crc32(x.astype("<u4", copy=False).tobytes()))
                     if with_ids:
                         ids.append(x.astype(np.int64))
-                columns = [pa.array([shard.as_py()] * len(docs), pa.int32()), pa.array([segment.as_py()] * len(docs), pa.int32()), *(pa.array(c, pa.int64()) for c in (docs, at, n, crc))]
+                columns = [pa.array(c, pa.int64()) for c in (docs, at, n, crc)]
                 if with_ids:
                     columns.append(pa.array(ids, pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    docs = df.select("shard", "segment", "data").mapInArrow(run, schema)
-    return docs.join(index, ["shard", "segment"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), *(n for n, _ in fields[2:]))
+    # A row is a file of megabytes, so they are dealt out one by one.
+    n_segments = sum(x.segments for x in sums)
+    return index.repartition(max(1, min(n_segments, 100_000)), "file").mapInArrow(worker.tasks_of("tokenfile", run), schema)
+
+
+class TokenFiles:
+    """The files under `path`, opened to read single tokens. bytes_read counts what was read of segments."""
+
+    def __init__(self, path: str):
+        import pyarrow.dataset as ds
+
+        fs, at = file_system(f"{path}/manifest")
+        self.fs, self.folder = file_system(f"{path}/segments")
+        rows = sorted(zip(*ds.dataset(at, filesystem=fs, format="parquet").to_table(["shard", "segment", "n_ids", "file"]).to_pydict().values(), strict=True))
+        self.files = [x[3] for x in rows]
+        self.ends = list(accumulate(x[2] for x in rows))
+        self.bytes_read = 0
+
+    def __len__(self) -> int:
+        return self.ends[-1] if self.ends else 0
+
+    def token_at(self, i: int) -> int:
+        """The i-th id of all documents, in ascending order of document ids."""
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        k = bisect_right(self.ends, i)
+        with self.fs.open_input_file(f"{self.folder}/{self.files[k]}") as f:
+
+            def read(at: int, n: int) -> bytes:
+                self.bytes_read += n
+                return f.read_at(n, at)
+
+            return Addressed(read).get(i - (self.ends[k - 1] if k else 0))
 
 
 def token_output(df: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -313,4 +383,4 @@ def token_output(df: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: st
     no segment and reads as no rows."""
     path = fresh_path(df.sparkSession, "tokens")
     write_token_files(df, path, tokenizer_path, end_id, id_col, text_col)
-    return read_token_files(df.sparkSession.read.schema(_FILES).parquet(path), with_ids)
+    return read_token_files(df.sparkSession, path, with_ids)

@@ -97,6 +97,26 @@ def test_op10_rows(spark, odd, empty, library, tokenizer_path):
     assert tokenfile.token_output(empty, tokenizer_path).count() == 0
 
 
+def test_tokens_are_addressed_in_the_files(spark, texts, library, tokenizer_path, tmp_path):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    tokenfile.write_token_files(df, f"file://{tmp_path}/t", tokenizer_path, shards=3, segment_ids=4000)
+    flat = [i for t in texts for i in library.encode(t, add_special_tokens=False).ids + [2]]
+    files = tokenfile.TokenFiles(f"file://{tmp_path}/t")
+    assert len(files) == len(flat) and len(files.files) > 3
+    (tmp_path / "t/segments/000000-000000-left-over.dac").write_bytes(b"of an attempt that failed")
+    places = sorted({0, len(flat) - 1, *files.ends[:-1], *(x - 1 for x in files.ends), *range(0, len(flat), max(1, len(flat) // 150))})
+    for i in places:
+        before = files.bytes_read
+        assert files.token_at(i) == flat[i]
+        levels = max(1, (flat[i].bit_length() + 7) // 8)
+        assert files.bytes_read - before == tokenfile.HEAD_BYTES + levels * tokenfile.BLOCK.itemsize
+    for i in (-1, len(flat)):
+        with pytest.raises(IndexError):
+            files.token_at(i)
+    got = sorted(tokenfile.read_token_files(spark, f"file://{tmp_path}/t").collect(), key=lambda x: x.start)
+    assert [i for x in got for i in x.ids] == flat and [x.doc_id for x in got] == list(range(len(texts)))
+
+
 def test_op1_query_digests(spark, library):
     sf = "/root/testdata/sf0.001"
     texts = {x.doc_id: x.text for x in spark.read.parquet(f"{sf}/documents.parquet").collect()}
