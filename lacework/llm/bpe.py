@@ -15,12 +15,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -31,14 +32,46 @@ from lacework.llm import worker
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A blank before a visible character always starts a pre-token, so texts fall into independent chunks there.
 BORDER = re.compile(r" (?=\S)")
-LOOSE_BLANK = re.compile(r" (?!\S)")
 #: Longer chunks are not remembered.
 LONGEST_KEPT = 48
 
 
-def split_chunks(text: str) -> list[str]:
-    """The text without the blanks at which it was split; every piece but the first had one before it."""
-    return BORDER.split(text) if LOOSE_BLANK.search(text) else text.split(" ")
+#: The same blanks, and no fewer, in the syntax of Arrow's regular expressions, whose \\s is narrower.
+LOOSE_ARROW = r" ([\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
+
+
+def by_pieces(texts: pa.Array, ids_of: Callable[[list[str], list[str]], tuple[list[bytes], list[bytes]]]) -> list[np.ndarray]:
+    """The ids of each text (nulls count as empty), from those of its different pieces. Texts fall into pieces at the blanks
+    where that is safe; ids_of(heads, words) gives the ids, as bytes, of pieces that start a text and of those with a blank
+    before them."""
+    texts = pc.fill_null(texts, "")
+    loose = pc.match_substring_regex(texts, LOOSE_ARROW).to_numpy(zero_copy_only=False)
+    out: list[np.ndarray] = [_NO_IDS] * len(texts)
+    for places, split in ((np.flatnonzero(~loose), lambda x: pc.split_pattern(x, " ")), (np.flatnonzero(loose), lambda x: pa.array([BORDER.split(t) for t in x.to_pylist()], pa.list_(pa.string())))):
+        if not len(places):
+            continue
+        lists = split(texts.take(pa.array(places)))
+        offsets, coded = lists.offsets.to_numpy(), pc.dictionary_encode(lists.flatten())
+        codes, vocab = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        first = np.zeros(len(codes), bool)
+        first[offsets[:-1]] = True
+        heads, words = (np.flatnonzero(np.bincount(codes[x], minlength=len(vocab))) for x in (first, ~first))
+        known = list(chain.from_iterable(ids_of([vocab[k] for k in heads], [vocab[k] for k in words])))
+        pool, size = np.frombuffer(b"".join(known), "<i4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
+        start = np.cumsum(size) - size
+        entry = np.zeros((2, len(vocab)), np.int64)
+        entry[0, words], entry[1, heads] = np.arange(len(words)) + len(heads), np.arange(len(heads))
+        entry = entry[first.astype(np.int8), codes]
+        n = size[entry]
+        ends = np.cumsum(n)
+        ids = pool[np.arange(n.sum()) + np.repeat(start[entry] - ends + n, n)]
+        cut = np.concatenate([[0], ends])[offsets].tolist()
+        for k, a, b in zip(places.tolist(), cut, cut[1:]):
+            out[k] = ids[a:b]
+    return out
+
+
+_NO_IDS = np.empty(0, "<i4")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -137,13 +170,9 @@ class PrefixBpe:
     def encode_chunk(self, chunk: str) -> bytes:
         return np.fromiter(chain.from_iterable(self.encode_pretoken(x.encode()) for x in self.pretoken.findall(chunk)), "<i4").tobytes()
 
-    def _plain(self, text: str) -> Iterator[bytes]:
-        head, *rest = split_chunks(text)
+    def _ids_of(self, heads: list[str], words: list[str]) -> tuple[list[bytes], list[bytes]]:
         first, inner = self.first, self.inner
-        if head:
-            yield first.get(head) or self._keep(first, head, self.encode_chunk(head))
-        for word in rest:
-            yield inner.get(word) or self._keep(inner, word, self.encode_chunk(" " + word))
+        return [first.get(x) or self._keep(first, x, self.encode_chunk(x)) for x in heads], [inner.get(x) or self._keep(inner, x, self.encode_chunk(" " + x)) for x in words]
 
     @staticmethod
     def _keep(cache: worker.Remembered, chunk: str, ids: bytes) -> bytes:
@@ -151,12 +180,18 @@ class PrefixBpe:
             cache.keep(chunk, ids, len(chunk) + len(ids))
         return ids
 
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each whole text; strings of added tokens become their ids."""
+        out = by_pieces(texts, self._ids_of)
+        if self.added:
+            found = pc.match_substring_regex(texts, "|".join(map(re.escape, self.added))).to_pylist()
+            for k in (k for k, x in enumerate(found) if x):
+                parts = [x for x in self.added_split.split(texts[k].as_py()) if x]
+                out[k] = np.concatenate([np.array([self.added[x]], "<i4") if x in self.added else by_pieces(pa.array([x]), self._ids_of)[0] for x in parts])
+        return out
+
     def encode(self, text: str) -> np.ndarray:
-        """The ids of the whole text; strings of added tokens become their ids."""
-        parts = [text]
-        if self.added_split is not None and self.added_split.search(text):
-            parts = [x for x in self.added_split.split(text) if x]
-        return np.frombuffer(b"".join(chain.from_iterable([np.int32(self.added[x]).tobytes()] if x in self.added else self._plain(x) for x in parts)), "<i4")
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids; added tokens give their own strings, bytes that are not UTF-8 U+FFFD."""
@@ -189,7 +224,7 @@ def encode_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
         bpe = vocabulary(tokenizer_path)
         for batch in batches:
             for part in slices(batch):
-                ids = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
+                ids = bpe.encode_all(part.column(1))
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int64).astype(np.int32)
                 columns = [part.column(0), pa.ListArray.from_arrays(ends, np.concatenate([*ids, np.empty(0, np.int32)]))]
                 if decode:
@@ -201,8 +236,6 @@ def encode_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
 
 def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts with texts (its second column) of about `most` bytes at most, one row at least."""
-    import pyarrow.compute as pc
-
     sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
     start = held = 0
     for k, n in enumerate(sizes):

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lacework.llm import worker
-from lacework.llm.bpe import LONGEST_KEPT, slices, split_chunks
+from lacework.llm.bpe import LONGEST_KEPT, by_pieces, slices
 from lacework.llm.common import fresh_path
 
 MAGIC = b"LWDAC02\n"
@@ -210,37 +210,41 @@ class LibraryEncoder:
                 self.tails[text] = ids
         return ids
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text. Most words of a language are met once and never again, so only those met in a second
         batch are kept for long; the others make room for the next batch's."""
-        pieces = [split_chunks(x) for x in texts]
-        known, once = self.met_again, self.met_once
+        return [x.view("<u4") for x in by_pieces(texts, self._ids_of)]
+
+    def _ids_of(self, lone: list[str], words: list[str]) -> tuple[list[bytes], list[bytes]]:
+        known, once, letters = self.met_again, self.met_once, self.LETTERS
         if len(known) > KEPT_CHUNKS:
             known.clear()
-        words = set().union(*(x[1:] for x in pieces)).difference(known)
-        again = words.intersection(once)
-        known.update((w, once.pop(w)) for w in again)
-        letters, split = self.LETTERS, {}
-        for w in words.difference(again):
-            m = letters.match(w)
-            split[w] = (m[0], w[m.end() :]) if m and "<|" not in w else (w, "")
-        lone = {x[0] for x in pieces}
-        lone.update(r.partition("\n")[2] for _, r in split.values() if "\n" in r)
-        self._learn_heads({x for x in lone if x.split() == [x] and "<|" not in x and len(x) <= LONGEST_KEPT})
-        heads = {h for h, _ in split.values()}.difference(known)
-        met = {h: once[h] for h in heads.intersection(once)}
-        fresh = self._learn([h for h in heads if h not in met])
-        of = lambda h: fresh.get(h) or known.get(h) or met[h]
-        fresh.update([(w, of(h) + self._tail(r)) for w, (h, r) in split.items() if r])
-        known |= fresh
-        first = lambda x: self.heads[x] if x in self.heads else self._library(x).tobytes()
-        out = [np.frombuffer(first(head) + b"".join(map(known.__getitem__, rest)), "<u4") for head, *rest in pieces]
-        for w in fresh:
-            del known[w]
-        if len(once) + len(fresh) > KEPT_CHUNKS // 2:
+        found = list(map(known.get, words))
+        new, heads = [], set()
+        for k, x in enumerate(found):
+            if x is None:
+                w = words[k]
+                x = once.pop(w, None)
+                if x is not None:
+                    known[w] = found[k] = x
+                    continue
+                m = letters.match(w)
+                h = m[0] if m and "<|" not in w else w
+                heads.add(h)
+                new.append((k, w, h, w[len(h) :]))
+        alone = {*lone, *(r.partition("\n")[2] for *_, r in new if "\n" in r)}
+        self._learn_heads({x for x in alone if x.split() == [x] and "<|" not in x and len(x) <= LONGEST_KEPT})
+        of = {h: x for h in heads if (x := known.get(h) or once.get(h)) is not None}
+        of |= self._learn(list(heads.difference(of)))
+        if len(once) + len(of) + len(new) > KEPT_CHUNKS // 2:
             once.clear()
-        once.update(x for x in fresh.items() if len(x[0]) <= LONGEST_KEPT)
-        return out
+        once.update(x for x in of.items() if len(x[0]) <= LONGEST_KEPT and x[0] not in known)
+        tail = self._tail
+        for k, w, h, r in new:
+            found[k] = x = of[h] + tail(r) if r else of[h]
+            if r and len(w) <= LONGEST_KEPT:
+                once[w] = x
+        return [self.heads[x] if x in self.heads else self._library(x).tobytes() for x in lone], found
 
 
 _LOADED: dict[str, LibraryEncoder] = {}
@@ -291,7 +295,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
 
         for batch in batches:
             for part in slices(batch):
-                for doc, x in zip(part.column(0).to_pylist(), encoder.encode_all([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                for doc, x in zip(part.column(0).to_pylist(), encoder.encode_all(part.column(1)), strict=True):
                     docs.append(doc)
                     ids.append(np.concatenate([x, end]))
                     held += len(x) + 1

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lacework.llm import bpe, queries, tokenfile
@@ -57,7 +58,7 @@ def test_library_encoder_forgets_and_stays_exact(texts, library, tokenizer_path,
     monkeypatch.setattr(tokenfile, "KEPT_CHUNKS", 500)
     encoder = tokenfile.LibraryEncoder(tokenizer_path)
     for k in range(0, len(texts), 40):
-        for t, ids in zip(texts[k : k + 40], encoder.encode_all(texts[k : k + 40])):
+        for t, ids in zip(texts[k : k + 40], encoder.encode_all(pa.array(texts[k : k + 40]))):
             assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
