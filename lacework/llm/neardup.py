@@ -10,19 +10,24 @@ of 5, a pair of similarity 0.8 is missed with probability 2.6e-8.
 
 Verification, without all pairs of a bucket:
 
-1. Documents with equal sets are one node.
-2. In each bucket the node that shares most with others is the pivot; each node is compared with the pivot
-   that it shares most buckets with, on full sets.
-3. The links of nodes and bucket pivots make families. Inside a family, links are still open only between
-   nodes that step 2 didn't connect: all nodes outside the family's largest component are queries against
-   the whole family, in blocks of bounded size, counted exactly over an inverted index.
+1. Documents with equal sets are one node. A node carries its sketch, a byte a bin.
+2. In each bucket the node that shares most with others is the pivot. Every node is compared with it by their sketches:
+   a pair of the asked similarity agrees on fewer bins than NEAR_SPREADS standard deviations below the mean only with a
+   probability below 1e-12, so a pair below that isn't linked. Nodes that aren't near the pivot are compared with the
+   other nodes of the bucket in the same way, in blocks; only links that join something new are kept.
+3. Nodes that are near each other make families: documents of chance buckets fall out here, so that families don't grow
+   together as tables grow. Each node is compared with the pivot that it shares most buckets with, on full sets. Inside a
+   family, links are still open only between nodes that this didn't connect: all nodes outside the family's largest
+   component are queries against the whole family, in blocks of bounded size, counted exactly over an inverted index.
 
 So every pair of candidates that isn't connected already is decided by its full sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +37,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lacework.llm import worker
-from lacework.llm.common import materialize, packed, text_or_empty
+from lacework.llm.common import drop_table, materialize, packed, text_or_empty
 from lacework.llm.graph import components
 
 BANDS, BAND_BINS = 44, 5
 #: Elements of the sets in a block of a family, about.
 BLOCK_ELEMENTS = 300_000
+#: Nodes of a block of a bucket.
+BLOCK_NODES = 2000
+#: Standard deviations below the mean of equal bins at which a pair isn't looked at any more.
+NEAR_SPREADS = 8.0
 _U = np.uint64
 
 
@@ -91,8 +100,15 @@ def sketch(elements: np.ndarray, bins: int) -> np.ndarray:
     return out
 
 
-def buckets(elements: np.ndarray, bands: int, band_bins: int) -> np.ndarray:
-    rows = sketch(elements, bands * band_bins).reshape(bands, band_bins)
+def least_equal(bins: int, percent: int) -> int:
+    """The bins on which a pair must agree to be near."""
+    t = min(percent / 100, 1.0)
+    return max(1, math.floor(bins * t - NEAR_SPREADS * math.sqrt(bins * t * (1 - t))))
+
+
+def buckets(bins: np.ndarray, bands: int, band_bins: int) -> np.ndarray:
+    """The bucket of each band of a sketch."""
+    rows = bins.reshape(bands, band_bins)
     total = np.arange(bands, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for j in range(band_bins):
@@ -101,19 +117,21 @@ def buckets(elements: np.ndarray, bands: int, band_bins: int) -> np.ndarray:
 
 
 def signatures(df: DataFrame, words: int, bands: int, band_bins: int, id_col: str, text_col: str) -> DataFrame:
-    """(nd_id, nd_row, nd_key, nd_n, node, nd_buckets): id, id or else hash of the text, 128-bit hash of the text, set size,
-    128-bit hash of the set (null if it is empty), bucket of each band."""
-    schema = T.StructType([T.StructField("nd_id", T.LongType()), T.StructField("nd_row", T.LongType()), T.StructField("nd_key", T.BinaryType()), T.StructField("nd_n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("nd_buckets", T.ArrayType(T.LongType()))])
+    """(nd_id, nd_row, nd_key, nd_n, node, nd_buckets, nd_sketch): id, id or else hash of the text, 128-bit hash of the text, set
+    size, 128-bit hash of the set (null if it is empty), bucket of each band, a byte of each bin of the sketch."""
+    schema = T.StructType([T.StructField("nd_id", T.LongType()), T.StructField("nd_row", T.LongType()), T.StructField("nd_key", T.BinaryType()), T.StructField("nd_n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("nd_buckets", T.ArrayType(T.LongType())), T.StructField("nd_sketch", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, nodes, found = [], [], []
+            sizes, nodes, found, bytes_of = [], [], [], []
             for text in batch.column(3):
                 s = shingle_set(text.as_py(), words)
+                bins = sketch(s, bands * band_bins) if len(s) else None
                 sizes.append(len(s))
-                nodes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                found.append(buckets(s, bands, band_bins) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=schema.names)
+                nodes.append(None if bins is None else xxhash.xxh3_128_digest(s.tobytes()))
+                found.append(None if bins is None else buckets(bins, bands, band_bins))
+                bytes_of.append(None if bins is None else bins.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(bytes_of, pa.binary())], names=schema.names)
 
     return df.select(F.col(id_col).cast("long").alias("nd_id"), _row_key(id_col, text_col).alias("nd_row"), _text_key(text_col).alias("nd_key"), F.col(text_col).alias("nd_text")).mapInArrow(worker.tasks_of("neardup", run), schema)
 
@@ -147,6 +165,60 @@ def _verify_pairs(words: int, percent: int):
     return run
 
 
+def _sketches(column: pa.Array) -> np.ndarray:
+    """A row of bytes for each value; all are of one length."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _mark_near(least: int):
+    """From (..., sketch, pivot_sketch): the other columns, and whether the two are near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = (_sketches(batch.column(batch.num_columns - 2)) == _sketches(batch.column(batch.num_columns - 1))).sum(1) >= least
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(near)], names=[*batch.schema.names[:-2], "near"])
+
+    return run
+
+
+def near_links(names: list[bytes], sketches: np.ndarray, queries: list[int], members: list[int], least: int) -> list[tuple[bytes, bytes]]:
+    """Links between near ones of queries and members, as few as join the same ones."""
+    index = {x: k for k, x in enumerate(dict.fromkeys(names))}
+    node = np.array([index[x] for x in names])
+    group, against, out = np.arange(len(index)), sketches[members], []
+    at = node[members]
+    for q in queries:
+        own = group[node[q]]
+        hit = np.flatnonzero(((against == sketches[q]).sum(1) >= least) & (group[at] != own))
+        if hit.size:
+            other, first = np.unique(group[at[hit]], return_index=True)
+            out += [(names[q], names[members[k]]) for k in hit[first]]
+            group[np.isin(group, other)] = own
+    return out
+
+
+def _link_blocks(least: int):
+    """From (bucket, m_block, q_block, query, node, sketch), sorted by the first three: the near links of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = chain.from_iterable(zip(*(c.to_pylist() for c in b.columns), strict=True) for b in batches)
+        a, b = [], []
+        for _, block in groupby(rows, lambda x: x[:3]):
+            _, _, _, query, names, sketches = zip(*block, strict=True)
+            queries, members = [k for k, q in enumerate(query) if q], [k for k, q in enumerate(query) if not q]
+            if queries and members:
+                for x, y in near_links(list(names), np.frombuffer(b"".join(sketches), np.uint8).reshape(len(names), -1), queries, members, least):
+                    a.append(x)
+                    b.append(y)
+            if len(a) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return run
+
+
 def block_links(nodes: list[bytes], comps: list[bytes], sets: list[np.ndarray], queries: list[int], members: list[int], percent: int) -> list[tuple[bytes, bytes]]:
     """Links between a query and a member that aren't in one component; the counts of common elements come from an
     inverted index over the members. Of several links to one component the first is enough."""
@@ -189,10 +261,11 @@ def _components_of_rows(df: DataFrame, words: int, percent: int, id_col: str, te
     """(nd_id, nd_key, nd_n, node, component, component_id) of each row of df: component is a node of it, component_id the
     least id in it; all three are null for a text without words."""
     rows = materialize(signatures(df, words, bands, band_bins, id_col, text_col), "signatures")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("nd_id").alias("least"), F.first("nd_n").alias("n"), F.first("nd_row").alias("w_row"), F.first("nd_buckets").alias("buckets"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("nd_id").alias("least"), F.first("nd_n").alias("n"), F.first("nd_row").alias("w_row"), F.first("nd_buckets").alias("buckets"), F.first("nd_sketch").alias("sketch"))
     nodes = materialize(nodes, "nodes")
     links = _links(df, nodes, words, percent, id_col, text_col, block_elements)
     reached = components(links)
+    drop_table(links)
     least = reached.join(nodes, "node").groupBy("component").agg(F.min("least").alias("comp_least"))
     least = reached.join(least, "component").select(F.col("node").alias("r_node"), "component", "comp_least")
     grouped = nodes.join(least, F.col("node") == F.col("r_node"), "left").select(F.col("node").alias("g_node"), F.coalesce("component", "node").alias("component"), F.coalesce("comp_least", "least").alias("component_id"))
@@ -221,30 +294,54 @@ def near_dedup(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
 
 def _links(df: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: str, text_col: str, block_elements: int) -> DataFrame:
     """The verified links (a, b) of nodes."""
+    used: list[DataFrame] = []
+
+    def held(df: DataFrame, name: str) -> DataFrame:
+        used.append(materialize(df, name))
+        return used[-1]
+
+    bins = F.octet_length("sketch")
+    least = least_equal(nodes.agg(F.max(bins)).first()[0] or 1, percent)
     placed = nodes.select("node", F.explode("buckets").alias("bucket"))
-    crowded = placed.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
-    placed = materialize(placed.join(crowded, "bucket"), "placed")
+    # A table of its own, so that the join of a hot bucket may be split.
+    crowded = held(placed.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "crowded")
+    placed = held(placed.join(crowded, "bucket"), "placed")
 
+    # Pivots, and who is near them.
     score = placed.groupBy("node").agg(F.sum("c").alias("score"))
-    ranked = placed.join(score, "node")
-    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("p"))
-    stars = placed.join(pivots, "bucket").where("node <> p.node").groupBy("node", F.col("p.node").alias("pivot"), F.col("p.score").alias("score")).agg(F.count("*").alias("shared"))
-    stars = materialize(stars, "stars")
-
-    family = components(stars.select(F.col("node").alias("a"), F.col("pivot").alias("b"))).withColumnRenamed("component", "family")
+    pivots = held(placed.join(score, "node").groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("p"), F.first("c").alias("c")).select("bucket", "c", F.col("p.node").alias("pivot"), F.col("p.score").alias("score")), "pivots")
+    around = held(placed.drop("c").join(pivots, "bucket").where("node <> pivot"), "around")
+    stars = around.groupBy("node", "pivot", "score").agg(F.count("*").alias("shared"))
+    sketches = nodes.select("node", "sketch")
+    stars = stars.join(sketches, "node").join(sketches.select(F.col("node").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
+    stars = held(stars.select("node", "pivot", "score", "shared", "sketch", "pivot_sketch").mapInArrow(worker.tasks_of("neardup", _mark_near(least)), "node binary, pivot binary, score long, shared long, near boolean"), "stars")
+
+    # Of buckets of three and more, those not near the pivot against the others, in blocks.
+    far = held(around.where("c > 2").join(stars.where("not near").select("node", "pivot"), ["node", "pivot"], "left_semi").select("bucket", "node"), "far")
+    sizes = held(pivots.select("bucket", "c").join(far.groupBy("bucket").agg(F.count("*").alias("q")), "bucket"), "open-buckets")
+    blocks = lambda c: F.ceil(F.col(c) / F.lit(BLOCK_NODES)).cast("int")
+    block_of = lambda c, k: F.pmod(F.xxhash64("node", F.lit(k)), blocks(c)).cast("int")
+    members = around.select("bucket", "node").join(sizes, "bucket").select("bucket", block_of("c", 0).alias("m_block"), F.explode(F.sequence(F.lit(0), blocks("q") - 1)).alias("q_block"), F.lit(False).alias("query"), "node")
+    queries = far.join(sizes, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), blocks("c") - 1)).alias("m_block"), block_of("q", 1).alias("q_block"), F.lit(True).alias("query"), "node")
+    of_blocks = ["bucket", "m_block", "q_block"]
+    rows = members.union(queries).join(sketches, "node").select(*of_blocks, "query", "node", "sketch").repartition(*of_blocks).sortWithinPartitions(*of_blocks)
+    more = held(rows.mapInArrow(worker.tasks_of("neardup", _link_blocks(least)), "a binary, b binary"), "near-links")
+
+    family = components(stars.where("near").select(F.col("node").alias("a"), F.col("pivot").alias("b")).union(more)).withColumnRenamed("component", "family")
     # One text for each node of a family, from any row that has the node's set.
     wanted = family.join(nodes, "node").select("node", "family", "n", "w_row")
-    texts = materialize(_texts(df, wanted, words, id_col, text_col), "texts")
+    texts = held(_texts(df, wanted, words, id_col, text_col), "texts")
 
-    best = stars.groupBy("node").agg(F.max(F.struct("shared", "score", "pivot")).alias("b")).select("node", F.col("b.pivot").alias("pivot"))
+    best = stars.where("near").groupBy("node").agg(F.max(F.struct("shared", "score", "pivot")).alias("b")).select("node", F.col("b.pivot").alias("pivot"))
     pairs = texts.select("node", "text").join(best, "node").join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
-    first = materialize(pairs.select("node", "pivot", "text", "pivot_text").mapInArrow(worker.tasks_of("neardup", _verify_pairs(words, percent)), "a binary, b binary"), "verified")
+    first = held(pairs.select("node", "pivot", "text", "pivot_text").mapInArrow(worker.tasks_of("neardup", _verify_pairs(words, percent)), "a binary, b binary"), "verified")
 
     known = components(first)
     members = texts.join(known.withColumnRenamed("node", "k_node"), F.col("node") == F.col("k_node"), "left").select("node", "family", "n", "text", F.coalesce("component", "node").alias("comp"))
+    members = held(members, "members")
     sizes = members.groupBy("family", "comp").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
     total = sizes.groupBy("family").agg(F.sum("n").alias("f_n"), F.count("*").alias("f_comps"), F.max(F.struct("m", "n", "comp")).alias("main")).where("f_comps > 1")
-    total = total.select("family", "f_n", (F.col("f_n") - F.col("main.n")).alias("q_n"), F.col("main.comp").alias("main"))
+    total = held(total.select("family", "f_n", (F.col("f_n") - F.col("main.n")).alias("q_n"), F.col("main.comp").alias("main")), "open-families")
     count = lambda c: F.ceil(F.col(c) / F.lit(block_elements)).cast("int")
     placed_in = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), count("f_n" if k == 0 else "q_n")).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), count(c) - 1))
@@ -260,7 +357,9 @@ def _links(df: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: st
         return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([x for _, x in links], pa.binary())})
 
     rest = as_member.unionByName(as_query).groupBy("family", "m_block", "q_block").applyInArrow(decide, "a binary, b binary")
-    return first.union(rest)
+    links = materialize(first.union(rest), "verified-links")
+    drop_table(*used)
+    return links
 
 
 def _texts(df: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:

@@ -170,6 +170,30 @@ def test_sketches():
     assert abs(share - 900 / 1100) < 0.05
 
 
+def test_near_links_join_what_is_near():
+    r = np.random.default_rng(5)
+    for n in (2, 30, 90):
+        base = r.integers(0, 256, (4, 64), np.uint8)
+        sketches = base[r.integers(0, 4, n)].copy()
+        sketches[r.random((n, 64)) < 0.25] = 7
+        names = [bytes([k]) for k in range(n)]
+        queries = [k for k in range(n) if k % 3 == 0]
+        found = neardup.near_links(names, sketches, queries, list(range(n)), 36)
+        near = [(names[q], names[m]) for q in queries for m in range(n) if q != m and (sketches[q] == sketches[m]).sum() >= 36]
+        assert set(found) <= set(near) and len(found) < n
+
+        def joined(links):
+            at = {x: x for x in names}
+            for a, b in links:
+                old, new = at[a], at[b]
+                at = {x: new if y == old else y for x, y in at.items()}
+            return {frozenset(x for x in names if at[x] == y) for y in at.values()}
+
+        assert joined(found) == joined(near)
+    # A pair of similarity 0.8 is far above the bound, one of 0.3 far below.
+    assert 100 < neardup.least_equal(220, 80) < 140 and neardup.least_equal(220, 100) == 220 and neardup.least_equal(1, 80) == 1
+
+
 def brute_spans(texts, length):
     count = Counter(b[i : i + length] for b in texts for i in range(len(b) - length + 1))
     out = []
