@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import ahocorasick
 import pyarrow as pa
@@ -50,6 +51,16 @@ TEMPLATES: dict[str, str] = {
 COMMON = frozenset("a above and any any appear are at be by can copies copy conditions fee file following for form forms free general granted if in is it list met must no not notice of one or person purpose public rights source terms that the this to under use version was with without work you".split())
 
 
+#: Whole texts of public licenses, a table beside this module.
+TEXTS = Path(__file__).with_name("license_texts.txt")
+
+
+def license_texts(path: str | Path = TEXTS) -> dict[str, str]:
+    """name -> text of a file in which "== name" starts a text; lines before the first are left out."""
+    parts = re.split(r"^== (.+)\n", Path(path).read_text(encoding="utf-8"), flags=re.M)
+    return dict(zip(parts[1::2], parts[2::2], strict=True))
+
+
 def words_of(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
@@ -256,13 +267,13 @@ def _tight(pairs: list[tuple[int, int]], n: int, least: float) -> list[tuple[int
 
 
 def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each template found in a row of df: (id_col, license, coverage double, start, end). Offsets count code
+    """A row for each template (notices, clauses and whole texts, if none are given) found in a row of df: (id_col, license, coverage double, start, end). Offsets count code
     points, the end is exclusive.
 
     A null or empty text has none; null and repeated ids stay as they are; other columns are not looked at. Texts are
     scanned whole where they are read; there is no shuffle.
     """
-    templates = TEMPLATES if templates is None else templates
+    templates = TEMPLATES | license_texts() if templates is None else templates
     schema = T.StructType([df.schema[id_col], T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

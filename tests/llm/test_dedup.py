@@ -171,6 +171,8 @@ def test_sketches():
 
 
 def test_near_links_join_what_is_near():
+    import numpy as np
+
     r = np.random.default_rng(5)
     for n in (2, 30, 90):
         base = r.integers(0, 256, (4, 64), np.uint8)

@@ -40,3 +40,20 @@ def test_stages_one_by_one(spark, tokenizer_path):
 
 def test_queries_are_named():
     assert {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES} == {str(n) for n in range(1, 11)}
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd, empty):
+    at = odd
+    counts = []
+    for name, stage in corpus_pipeline.STAGES:
+        before = at.columns
+        at = stage(spark, at, SF).cache()
+        counts.append(at.count())
+        assert name == "encode" or at.columns == before
+    # The classifier may reject odd texts; exact and near duplicates go, mixing takes leaves whole or in part.
+    assert counts == sorted(counts, reverse=True) and counts[-1] == counts[-2] > 0
+    assert len({x.ids_ for x in at.selectExpr("array_join(cast(ids as array<string>), ',') as ids_").collect()}) == counts[-1]
+    at = empty
+    for _, stage in corpus_pipeline.STAGES:
+        at = stage(spark, at, SF).cache()
+        assert at.count() == 0

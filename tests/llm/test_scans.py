@@ -180,7 +180,7 @@ def test_licenses(spark, odd, empty):
         by.setdefault(x.doc_id, []).append((x.license, texts[x.doc_id][x.start : x.end]))
         assert 0.8 <= x.coverage <= 1
     assert set(by) == {1, 2, 3}
-    assert by[1] == [("MIT", mit)] and by[2][0][0] == "MIT" and [n for n, _ in by[3]] == ["MIT-notice", "MIT-notice"]
+    assert by[1] == [("MIT", mit)] and "MIT-text" not in dict(by[2]) and by[2][0][0] == "MIT" and [n for n, _ in by[3]] == ["MIT-notice", "MIT-notice"]
     assert licenses.scan_licenses(odd).count() == 0 == licenses.scan_licenses(empty).count()
 
 
@@ -243,6 +243,25 @@ def test_adjacent_copies(name):
                 assert (x.start, x.end) == (starts[around + k * n + own[0]], starts[around + k * n + own[-1] + 1] - 1)
 
 
+@pytest.mark.parametrize("name", licenses.license_texts())
+def test_whole_license_texts(name):
+    texts = licenses.license_texts()
+    scanner = licenses.Scanner(licenses.TEMPLATES | texts, licenses.LEAST)
+    own = texts[name].strip()
+    words, r = licenses.words_of(own), random.Random(name)
+    file = f"Copyright (c) 2020 Somebody\n\n{own}\n\nint main() {{ return 0; }}\n"
+    ends = lambda t: (re.search(r"\w", t).start(), len(t.rstrip(" .\n")))
+    (found,) = (x for x in scanner.scan(file) if x.name == name)
+    assert found.coverage == 1 and file[found.start : found.end] == own[slice(*ends(own))]
+    assert [(x.name, x.coverage) for x in scanner.scan(f"foo bar {own} baz {own} qux") if x.name == name] == [(name, 1.0)] * 2
+    # Changed words are not covered, all others are: as many as a longest common subsequence has.
+    for share, known in ((0.1, True), (0.3, False)):
+        lost = set(r.sample(range(len(words)), int(share * len(words))))
+        changed = ["zzz" if k in lost else w for k, w in enumerate(words)]
+        found = [x for x in scanner.scan(" ".join(changed)) if x.name == name]
+        assert bool(found) == known and all(abs(x.coverage - lcs(words, changed) / len(words)) < 1e-9 for x in found)
+
+
 def fill(children, budget):
     """Water filling by trying: children name -> (weight, capacity)."""
     out, open_ = {}, dict(children)
