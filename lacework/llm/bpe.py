@@ -32,6 +32,8 @@ from lacework.llm import worker
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A blank before a visible character always starts a pre-token, so texts fall into independent chunks there.
 BORDER = re.compile(r" (?=\S)")
+#: Bytes of texts that are encoded together, about.
+SLICE = 2 << 20
 #: Longer chunks are not remembered.
 LONGEST_KEPT = 48
 
@@ -57,14 +59,16 @@ def by_pieces(texts: pa.Array, ids_of: Callable[[list[str], list[str]], tuple[li
         first[offsets[:-1]] = True
         heads, words = (np.flatnonzero(np.bincount(codes[x], minlength=len(vocab))) for x in (first, ~first))
         known = list(chain.from_iterable(ids_of([vocab[k] for k in heads], [vocab[k] for k in words])))
-        pool, size = np.frombuffer(b"".join(known), "<i4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
-        start = np.cumsum(size) - size
-        entry = np.zeros((2, len(vocab)), np.int64)
+        pool, size = np.frombuffer(b"".join(known), "<i4"), np.fromiter(map(len, known), np.int32, len(known)) // 4
+        start = np.cumsum(size, dtype=np.int32) - size
+        entry = np.zeros((2, len(vocab)), np.int32)
         entry[0, words], entry[1, heads] = np.arange(len(words)) + len(heads), np.arange(len(heads))
         entry = entry[first.astype(np.int8), codes]
         n = size[entry]
-        ends = np.cumsum(n)
-        ids = pool[np.arange(n.sum()) + np.repeat(start[entry] - ends + n, n)]
+        ends = np.cumsum(n, dtype=np.int32)
+        at = np.repeat(start[entry] - ends + n, n)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = pool[at]
         cut = np.concatenate([[0], ends])[offsets].tolist()
         for k, a, b in zip(places.tolist(), cut, cut[1:]):
             out[k] = ids[a:b]
@@ -223,7 +227,7 @@ def encode_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(tokenizer_path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE):
                 ids = bpe.encode_all(part.column(1))
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int64).astype(np.int32)
                 columns = [part.column(0), pa.ListArray.from_arrays(ends, np.concatenate([*ids, np.empty(0, np.int32)]))]

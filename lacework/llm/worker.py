@@ -14,7 +14,7 @@ from functools import partial
 import pyarrow as pa
 
 #: Bytes that the tables of one operator may take in a worker, about.
-BUDGET = 64 << 20
+BUDGET = 48 << 20
 #: Bytes of a table's entry besides its key and value, about.
 ENTRY = 100
 
