@@ -33,7 +33,9 @@ PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 #: A blank before a visible character always starts a pre-token, so texts fall into independent chunks there.
 BORDER = re.compile(r" (?=\S)")
 #: Bytes of texts that are encoded together, about.
-SLICE = 2 << 20
+SLICE = 4 << 20
+#: Bytes of the tables of pairs and of pieces that a worker remembers; most words come once, so smaller tables cost much time.
+PAIRS_BYTES, PIECES_BYTES = 48 << 20, 112 << 20
 #: Longer chunks are not remembered.
 LONGEST_KEPT = 48
 
@@ -121,9 +123,9 @@ class PrefixBpe:
         for k in vocab.values():
             self.suffixes.add_word(self.bytes_of[k].decode("latin-1"), (len(self.bytes_of[k]), k))
         self.suffixes.make_automaton()
-        self.pairs = worker.Remembered(worker.BUDGET // 4)
+        self.pairs = worker.Remembered(PAIRS_BYTES)
         self.single = {self.bytes_of[k]: k for k in vocab.values() if self.halves[k] is None}
-        self.first, self.inner = worker.Remembered(worker.BUDGET // 16), worker.Remembered(worker.BUDGET // 8 * 5)
+        self.first, self.inner = worker.Remembered(PIECES_BYTES // 16), worker.Remembered(PIECES_BYTES)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the encoding of bytes(left) + bytes(right) is [left, right]."""
