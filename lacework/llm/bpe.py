@@ -32,10 +32,8 @@ from lacework.llm import worker
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A blank before a visible character always starts a pre-token, so texts fall into independent chunks there.
 BORDER = re.compile(r" (?=\S)")
-#: Bytes of texts that are encoded together, about.
-SLICE = 4 << 20
 #: Bytes of the tables of pairs and of pieces that a worker remembers; most words come once, so smaller tables cost much time.
-PAIRS_BYTES, PIECES_BYTES = 48 << 20, 112 << 20
+REMEMBERED = 160 << 20
 #: Longer chunks are not remembered.
 LONGEST_KEPT = 48
 
@@ -91,7 +89,7 @@ def byte_alphabet() -> dict[str, int]:
 class PrefixBpe:
     """A byte-level BPE vocabulary in the JSON format of the public tokenizers library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, alphabet = spec["model"], byte_alphabet()
@@ -123,9 +121,9 @@ class PrefixBpe:
         for k in vocab.values():
             self.suffixes.add_word(self.bytes_of[k].decode("latin-1"), (len(self.bytes_of[k]), k))
         self.suffixes.make_automaton()
-        self.pairs = worker.Remembered(PAIRS_BYTES)
+        self.pairs = worker.Remembered(remembered // 10 * 3)
         self.single = {self.bytes_of[k]: k for k in vocab.values() if self.halves[k] is None}
-        self.first, self.inner = worker.Remembered(PIECES_BYTES // 16), worker.Remembered(PIECES_BYTES)
+        self.first, self.inner = worker.Remembered(remembered // 20), worker.Remembered(remembered // 20 * 13)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the encoding of bytes(left) + bytes(right) is [left, right]."""
@@ -204,19 +202,22 @@ class PrefixBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-_LOADED: dict[str, PrefixBpe] = {}
+_LOADED: dict[tuple[str, int], PrefixBpe] = {}
 worker.forgets(_LOADED.clear)
 
 
-def vocabulary(path: str) -> PrefixBpe:
-    """The vocabulary, loaded once by a worker."""
-    if path not in _LOADED:
-        _LOADED[path] = PrefixBpe(path)
-    return _LOADED[path]
+def vocabulary(path: str, remembered: int = REMEMBERED) -> PrefixBpe:
+    """The vocabulary, loaded once by a worker; only one is kept."""
+    if (path, remembered) not in _LOADED:
+        _LOADED.clear()
+        _LOADED[path, remembered] = PrefixBpe(path, remembered)
+        worker.trim()  # what parsing took
+    return _LOADED[path, remembered]
 
 
-def encode_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
-    """One row for each row of df: (id_col, ids array<int>[, decoded string]).
+def encode_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, remembered: int = REMEMBERED) -> DataFrame:
+    """One row for each row of df: (id_col, ids array<int>[, decoded string]). remembered: bytes of a worker's tables,
+    which change how long it takes, not what it gives.
 
     A null text counts as empty and gives no ids and the empty string; a null id stays null. Repeated
     rows give repeated rows, other columns of df are not looked at. Texts of any length are encoded
@@ -227,9 +228,9 @@ def encode_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     schema = T.StructType(fields + [T.StructField("decoded", T.StringType())] * decode)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = vocabulary(tokenizer_path)
+        bpe = vocabulary(tokenizer_path, remembered)
         for batch in batches:
-            for part in slices(batch, SLICE):
+            for part in slices(batch, remembered // 40):
                 ids = bpe.encode_all(part.column(1))
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int64).astype(np.int32)
                 columns = [part.column(0), pa.ListArray.from_arrays(ends, np.concatenate([*ids, np.empty(0, np.int32)]))]

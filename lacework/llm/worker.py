@@ -60,6 +60,7 @@ def _task(owner: str, run: Callable[[Iterator], Iterator], batches: Iterator) ->
     if owner != _owner:
         for forget in _forget:
             forget()
+        trim()
         _owner = owner
     try:
         yield from run(batches)
