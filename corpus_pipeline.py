@@ -21,6 +21,9 @@ from lacework.llm.queries import WEIGHTS, byte_bpe, domain
 #: Nine tenths of the tokens that are left, domains and languages by weight, sources alike, no document twice.
 MIXTURE = mixing.Mixture(weights=WEIGHTS, budget_share=0.9, max_epochs=1)
 
+#: Bytes of the encoder's tables in a worker: an executor still has the memory that the stages before have made its JVM take.
+BPE_TABLES = 64 << 20
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Null and empty texts count as empty: their weight is 0. Ties at the last key all stay, rows with one id share
@@ -48,7 +51,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A null or empty text gives no ids. Null and repeated ids stay rows of their own; an empty table gives no rows."""
-    rows = bpe.encode_decode(docs, byte_bpe())
+    rows = bpe.encode_decode(docs, byte_bpe(), remembered=BPE_TABLES)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
