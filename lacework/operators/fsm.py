@@ -59,8 +59,12 @@ def wedge_support(graph: Graph, threshold: int = 1, edges: DataFrame | None = No
     return domains.join(ends, ["l0", "l1", "l2"]).groupBy("l0", "l1", "l2").agg(F.least(F.min("d0"), F.min("d")).alias("support")).where(F.col("support") >= threshold)
 
 
-def triangle_support(graph: Graph, threshold: int = 1) -> DataFrame:
-    """(l0, l1, l2, support) with l0 <= l1 <= l2."""
+def triangle_support(graph: Graph, threshold: int = 1, edges: DataFrame | None = None) -> DataFrame:
+    """(l0, l1, l2, support) with l0 <= l1 <= l2. edges: the frequent ones; no triangle with another is searched."""
+    if edges is not None:
+        both = edges.select(F.col("l0").alias("ls"), F.col("l1").alias("ld")).union(edges.select("l1", "l0")).distinct()
+        left = graph.labelled_und.where("src < dst").join(both, ["ls", "ld"], "left_semi").select("src", "dst")
+        graph = Graph(graph.kept(left), graph.vertices)
     lab = graph.labels
     t = list_cliques(graph, 3)
     for k in range(3):
@@ -143,7 +147,7 @@ class Frequent:
 
     @cached_property
     def triangle(self) -> DataFrame:
-        return triangle_support(self.graph, self.threshold)
+        return triangle_support(self.graph, self.threshold, self.edge)
 
     @cached_property
     def four_chain(self) -> DataFrame:
